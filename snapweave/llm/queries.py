@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, secrets, sharding, tokens
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -13,6 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    found = secrets.secret_spans(docs, repo_col="repository", owner_col="source")
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda name, value: F.size(F.filter("spans", lambda s: s[name] == value)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count("kind", k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        *[count("class", k).alias(f"n_{k}") for k in ("live", "shared", "copied")],
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,7 +46,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op7_exact_dedup, op8_sharding)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_secret_scan, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
