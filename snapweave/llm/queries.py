@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, secrets, sharding, tokens
+from . import chat, exact_dedup, mixing, packing, secrets, sharding, tokens, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows that no classifier may learn from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_counts(table(spark, sf_dir, "documents"))
 
@@ -50,7 +62,32 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_secret_scan, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    w = chat.windows(turns.union(extra))
+    new = F.filter(chat.read_back("formatted"), lambda t: t["new"])
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    w = w.withColumn("turns", new).select(
+        "conv_id",
+        F.struct("window", F.size("turns").alias("n"), F.array_join(told, "").alias("told"), chat.masked_text("formatted", "loss").alias("learnt"), F.char_length("formatted").alias("chars")).alias("w"),
+    )
+    whole = w.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    sha = lambda part: F.sha2(F.array_join(f"w.{part}", "").cast("binary"), 256)
+    total = lambda part: F.aggregate(f"w.{part}", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return whole.select(
+        "conv_id",
+        total("n").alias("n_turns"),
+        sha("told").alias("turns_sha256"),
+        F.char_length(F.array_join("w.learnt", "")).cast("long").alias("loss_chars"),
+        sha("learnt").alias("loss_sha256"),
+        total("chars").alias("formatted_chars"),
+        F.size("w").cast("long").alias("n_windows"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_secret_scan, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
