@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, secrets, sharding, tokens, toxicity
+from . import chat, exact_dedup, mixing, packing, secrets, sharding, tokens, toxicity, vectors
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_counts(table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_secret_scan, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_secret_scan, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
