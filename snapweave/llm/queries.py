@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, secrets, sharding, tokens, toxicity, vectors
+from . import chat, exact_dedup, mixing, near_dedup, packing, secrets, sharding, tokens, toxicity, vectors
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -22,7 +22,7 @@ def held_out(id_col: str = "doc_id"):
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
-    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    out = docs.select("doc_id", toxicity.score_of(model, "text").alias("score"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -49,6 +49,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -91,7 +95,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_secret_scan, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_secret_scan, op5_minhash, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """

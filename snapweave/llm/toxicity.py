@@ -194,8 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     return fit(found, (counts["pos"] + 0.5) / (counts["neg"] + 0.5), **options)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1. No shuffle; the model (at most MOST_FEATURES weights) goes with the tasks."""
+def score_of(model: Model, text: str | Column) -> Column:
+    """A score from 0 to 1; the model (at most MOST_FEATURES weights) goes with the tasks."""
     weights, intercept = model.weights, model.intercept
 
     @F.pandas_udf("double")
@@ -224,4 +224,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn(score_col, score(fill(text_col)))
+    return score(fill(text))
