@@ -72,3 +72,10 @@ def suggested_lift(label: Column) -> Column:
     for p in reversed(DROPPED_PREFIXES):
         out = F.when(bare.startswith(f"{p}_"), F.substr(bare, F.lit(len(p) + 2))).otherwise(out)
     return out
+
+
+def normalized_header(header: Column) -> Column:
+    """A header up to its first bracket, semicolon or colon, without punctuation, lower-cased, blanks as underscores."""
+    text = F.trim(F.regexp_replace(header, r"(?s)[(\[;:].*$", ""))
+    text = F.lower(F.trim(F.regexp_replace(text, r"(?U)[^\w\s]", "")))
+    return F.regexp_replace(text, r"(?U)\s+", "_")
