@@ -43,7 +43,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("disabled", "blind", "deaf"),
     ("old", "young"),
 )
-PREFIXES, MOST_PER_LABEL, MOST_FEATURES, LEAST_DF = (4, 6), 8000, 20_000, 4
+PREFIXES, MOST_PER_LABEL, MOST_FEATURES, LEAST_DF = (4, 6), 6000, 20_000, 4
 
 
 def _words():
@@ -95,7 +95,7 @@ def learning_rows(labels: DataFrame, id_col: str, label_col: str, allowed: Colum
 
 
 def gather(texts: DataFrame, sets: Sequence[Sequence[str]] = IDENTITY_TERMS) -> DataFrame:
-    """(id, text, label) -> (label, seen, gained, lost): feature numbers of a text, and per swap of a sentence what it gains and loses."""
+    """(id, text, label) -> (id, label, seen, gained, lost): feature numbers of a text, and per swap of a sentence what it gains and loses."""
 
     def extract(batches: Iterator) -> Iterator:
         import re
@@ -121,27 +121,37 @@ def gather(texts: DataFrame, sets: Sequence[Sequence[str]] = IDENTITY_TERMS) ->
     return texts.mapInPandas(extract, "id string, label int, seen binary, gained array<binary>, lost array<binary>")
 
 
-def fit(rows: list, odds: float, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 300, most_features: int = MOST_FEATURES, least_df: int = LEAST_DF) -> Model:
+def fit(rows: list, odds: float, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 500, most_features: int = MOST_FEATURES, least_df: int = LEAST_DF) -> Model:
     """Logistic regression over the gathered rows; ``odds`` of label 1 in the whole table."""
     import numpy as np
 
     y = np.array([r["label"] for r in rows], float)
-    seen = [np.frombuffer(r["seen"], np.uint32) for r in rows]
     base = float(np.log(odds))
     if not len(rows) or y.min() == y.max():
         return Model({}, base)
-    at = np.repeat(np.arange(len(rows)), [len(s) for s in seen])
-    names, col = np.unique(np.concatenate(seen), return_inverse=True)
+    each = np.array([len(r["seen"]) // 4 for r in rows])
+    stream = np.frombuffer(b"".join(r["seen"] for r in rows), np.uint32)
+    names, df = np.unique(stream, return_counts=True)
+    names = names[df >= least_df]
+    at, col = [], []  # by slices of rows, so that what doesn't recur is never held as indices
+    ends = np.cumsum(each)
+    for s in range(0, len(rows), 500):
+        t = min(s + 500, len(rows))
+        part = stream[ends[s] - each[s] : ends[t - 1]]
+        k = np.minimum(np.searchsorted(names, part), max(0, len(names) - 1))
+        known = np.flatnonzero(names[k] == part) if len(names) else k[:0]
+        at.append(np.repeat(np.arange(s, t, dtype=np.int32), each[s:t])[known])
+        col.append(k[known].astype(np.int32))
+    at, col = np.concatenate(at), np.concatenate(col)
     pos, neg = np.bincount(col, y[at], len(names)), np.bincount(col, 1 - y[at], len(names))
     n1, n0 = y.sum(), len(y) - y.sum()
     rate = (pos + neg) / len(y)
-    z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-    strength = np.where(pos + neg >= least_df, np.abs(z), 0)
+    strength = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
     chosen = np.sort(np.argsort(-strength, kind="stable")[:most_features])
     chosen = chosen[strength[chosen] >= 3]
     if not len(chosen):
         return Model({}, base)
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     kept = place[col] >= 0
     at, col, known = at[kept], place[col[kept]], names[chosen]
@@ -189,8 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     rows = learning_rows(labels, id_col, label_col, allowed, most)
     counts = labels.where(allowed & F.col(label_col).isin(0, 1)).agg(F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) == 0).alias("neg")).first()
     texts = docs.select(F.col(id_col).alias("id"), fill(text_col).alias("text")).join(F.broadcast(rows), "id")
-    found = gather(texts.select(F.col("id").cast("string").alias("id"), "text", "label"), sets).collect()
-    found.sort(key=lambda r: (r["id"] or "", r["seen"]))
+    found = gather(texts.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "text", "label"), sets).collect()
+    found.sort(key=lambda r: r["id"])
     return fit(found, (counts["pos"] + 0.5) / (counts["neg"] + 0.5), **options)
 
 
