@@ -48,6 +48,12 @@ def repeated_cells(prints: DataFrame, sha: str, bits: int) -> DataFrame:
     return twice.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("mask"))
 
 
+def present_cells(rows: DataFrame, key: str, bits: int) -> DataFrame:
+    """(word, mask) of the cells that any row sets: a filter of the keys that occur."""
+    cell = rows.select(F.explode(F.array(*_cells(key, bits))).alias("cell")).distinct()
+    return cell.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("mask"))
+
+
 def with_suspicion(rows: DataFrame, sha: str, words: DataFrame, bits: int) -> DataFrame:
     """Pass 2: a column ``suspect``, false where the text surely occurs once. The words are bounded, so they are broadcast."""
     first, second = _cells(sha, bits)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, components, fill, per_process, runs, staged
+from .exact_dedup import filter_bits, present_cells, with_suspicion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -191,7 +192,7 @@ def compare_blocks(part: pd.DataFrame, least: float, margin: float = MARGIN) ->
     """Links that join components: rows of one block among themselves, or of side 0 against side 1."""
     import numpy as np
 
-    part = part.drop_duplicates(["id", "side"])
+    part = part.drop_duplicates(["id", "side", "elements"])
     names = np.frombuffer(b"".join(part["names"]), np.uint32).reshape(len(part), -1)
     ids, comp, side = part["id"].to_numpy(), part["comp"].to_numpy(), part["side"].to_numpy()
     elements, weight = part["elements"].to_numpy(), part["weights"].to_numpy()
@@ -233,16 +234,23 @@ def _block(n: Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without those whose id surely isn't in ``ids``, by a Bloom filter of bounded size: what a join would drop isn't shuffled."""
+    ids = ids.distinct()
+    bits = filter_bits(ids.count())
+    return with_suspicion(rows, "id", present_cells(ids, "id", bits), bits).where("suspect").drop("suspect")
+
+
 def links(sketches: DataFrame, heads: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b): verified links between heads that span every component."""
     bands = heads.select("id", F.posexplode("bands").alias("band", "key"))
     bucket = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     members = staged(bands.join(bucket, ["band", "key"]).select("id", "band", "key", "lead"))
 
-    body = sketches.select("id", "c1", "c2", "elements", "weights").join(heads.select("id", "c1", "c2"), ["id", "c1", "c2"], "left_semi").dropDuplicates(["id", "c1", "c2"])
-    left = body.select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    right = body.select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = staged(members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    body = sketches.select("id", "elements", "weights")
+    left = _only(body, pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
+    right = _only(body, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
     first = staged(pairs.join(left, "a").join(right, "b").withColumn("sim", _similarity()).where(F.col("sim") >= least).select("a", "b"))
 
     roots = components(first)
@@ -256,8 +264,9 @@ def links(sketches: DataFrame, heads: DataFrame, least: float = LEAST) -> DataFr
     among = among.select("id", "comp", "band", "key", F.lit(0).alias("kind"), F.least("block", "o").alias("ti"), F.greatest("block", "o").alias("tj"), (F.col("block") > F.col("o")).cast("int").alias("side"))
     across = todo.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("outer"), n_in).otherwise(n_out) - 1)))
     across = across.select("id", "comp", "band", "key", F.lit(1).alias("kind"), F.when(F.col("outer"), F.col("block")).otherwise(F.col("o")).alias("ti"), F.when(F.col("outer"), F.col("o")).otherwise(F.col("block")).alias("tj"), (~F.col("outer")).cast("int").alias("side"))
-    whole = sketches.join(heads.select("id", "c1", "c2"), ["id", "c1", "c2"], "left_semi").select("id", "names", "elements", "weights").dropDuplicates(["id"])
-    second = staged(_compare(among.union(across).join(whole, "id"), least))
+    tiles = staged(among.union(across))
+    whole = _only(sketches.select("id", "names", "elements", "weights"), tiles.select("id"))
+    second = staged(_compare(tiles.join(whole, "id"), least))
     return first.union(second)
 
 
