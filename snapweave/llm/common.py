@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -54,6 +55,14 @@ def release_scratch() -> None:
 atexit.register(release_scratch)
 
 
+def for_python(df: DataFrame) -> DataFrame:
+    """``df``, about to be read by Python workers: batches of at most 8 MB instead of Spark's 64, unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) == "67108864b":
+        conf.set(BATCH_CONF, "8m")
+    return df
+
+
 def per_process(key: str, make: Callable):
     """One value per Python worker process, kept from task to task."""
     store = sys.modules.setdefault("_snapweave_store", types.ModuleType("_snapweave_store"))

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, fill, per_process, runs, staged
+from .common import Forest, components, fill, for_python, per_process, runs, staged
 from .exact_dedup import filter_bits, present_cells, with_suspicion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,7 +57,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         import hashlib
 
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode(errors="replace"), digest_size=8).digest(), "big")
         return value
@@ -170,7 +170,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), fill(text_col).alias("text")).where("id is not null")
-    return slim.mapInPandas(sketch, SKETCH)
+    return for_python(slim).mapInPandas(sketch, SKETCH)
 
 
 def unpacked(elements: bytes, weight: bytes):
@@ -227,7 +227,7 @@ def _compare(rows: DataFrame, least: float) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "a long, b long")
+    return for_python(rows).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "a long, b long")
 
 
 def _block(n: Column) -> Column:
@@ -251,7 +251,7 @@ def links(sketches: DataFrame, heads: DataFrame, least: float = LEAST) -> DataFr
     body = sketches.select("id", "elements", "weights")
     left = _only(body, pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     right = _only(body, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    first = staged(pairs.join(left, "a").join(right, "b").withColumn("sim", _similarity()).where(F.col("sim") >= least).select("a", "b"))
+    first = staged(for_python(pairs).join(left, "a").join(right, "b").withColumn("sim", _similarity()).where(F.col("sim") >= least).select("a", "b"))
 
     roots = components(first)
     placed = staged(members.join(roots, "id", "left").select("id", "band", "key", F.coalesce("root", "id").alias("comp")))

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fill, per_process
+from .common import fill, for_python, per_process
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,7 +118,7 @@ def gather(texts: DataFrame, sets: Sequence[Sequence[str]] = IDENTITY_TERMS) ->
                 out.append((name, label, numbers(features_of(find(text))), gained, lost))
             yield pd.DataFrame(out, columns=["id", "label", "seen", "gained", "lost"])
 
-    return texts.mapInPandas(extract, "id string, label int, seen binary, gained array<binary>, lost array<binary>")
+    return for_python(texts).mapInPandas(extract, "id string, label int, seen binary, gained array<binary>, lost array<binary>")
 
 
 def fit(rows: list, odds: float, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 500, most_features: int = MOST_FEATURES, least_df: int = LEAST_DF) -> Model:
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     """Fit on a bounded sample of ``labels``; its ids are broadcast (at most 2 x ``most`` rows), so no text is shuffled."""
     rows = learning_rows(labels, id_col, label_col, allowed, most)
     counts = labels.where(allowed & F.col(label_col).isin(0, 1)).agg(F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) == 0).alias("neg")).first()
-    texts = docs.select(F.col(id_col).alias("id"), fill(text_col).alias("text")).join(F.broadcast(rows), "id")
+    texts = for_python(docs).select(F.col(id_col).alias("id"), fill(text_col).alias("text")).join(F.broadcast(rows), "id")
     found = gather(texts.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "text", "label"), sets).collect()
     found.sort(key=lambda r: r["id"])
     return fit(found, (counts["pos"] + 0.5) / (counts["neg"] + 0.5), **options)
@@ -225,7 +225,7 @@ def score_of(model: Model, text: str | Column) -> Column:
                 for w in set(find(text.lower())):
                     got = memo.get(w)
                     if got is None:
-                        if len(memo) > 300_000:
+                        if len(memo) > 150_000:
                             memo.clear()
                         got = memo[w] = active(w)
                     if got:
