@@ -98,6 +98,41 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_secret_scan, op5_minhash, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
 
 ORACLE_SQL = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND isfinite(list_min(embedding)) AND isfinite(list_max(embedding)) AND (list_min(embedding) < 0 OR list_max(embedding) > 0)),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+root AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN root USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op10_chat": r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tokens,
+         8 + length(replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), chr(10), '\n')) + 1 + length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b')) + 7 AS chars
+  FROM raw),
+s AS (SELECT conv_id, max(CASE WHEN role = 'system' THEN tokens ELSE 0 END) AS sys_tokens, max(CASE WHEN role = 'system' THEN chars ELSE 0 END) AS sys_chars, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS has FROM t WHERE i = 0 GROUP BY conv_id),
+w(conv_id, i, w, used) AS (
+  SELECT conv_id, i, 0, tokens FROM t WHERE i = 0
+  UNION ALL
+  SELECT t.conv_id, t.i, CASE WHEN goes THEN w.w + 1 ELSE w.w END, CASE WHEN goes THEN t.tokens ELSE w.used + t.tokens END
+  FROM (SELECT w.*, t.tokens, w.used > 0 AND w.used + t.tokens > CASE WHEN w.w = 0 THEN 1024 ELSE 1024 - 192 - s.sys_tokens END AS goes FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1 JOIN s ON s.conv_id = w.conv_id) w
+  JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1),
+starts AS (SELECT conv_id, w, min(i) AS start FROM w WHERE w > 0 GROUP BY conv_id, w),
+held AS (
+  SELECT x.conv_id, x.w, t.chars, sum(t.tokens) OVER (PARTITION BY x.conv_id, x.w ORDER BY t.i DESC) AS upto
+  FROM starts x JOIN s ON s.conv_id = x.conv_id JOIN t ON t.conv_id = x.conv_id AND t.i < x.start AND t.i >= greatest(x.start - 4, s.has)),
+again AS (
+  SELECT x.conv_id, sum(s.sys_chars + coalesce((SELECT sum(chars) FROM held h WHERE h.conv_id = x.conv_id AND h.w = x.w AND h.upto <= 192), 0)) AS chars FROM starts x JOIN s ON s.conv_id = x.conv_id GROUP BY x.conv_id)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(t.chars) + coalesce(max(a.chars), 0))::BIGINT AS formatted_chars, 1 + coalesce(max(n.n), 0) AS n_windows
+FROM t LEFT JOIN again a ON a.conv_id = t.conv_id LEFT JOIN (SELECT conv_id, count(*) AS n FROM starts GROUP BY conv_id) n ON n.conv_id = t.conv_id GROUP BY t.conv_id""",
     "op7_exact_dedup": """
 WITH n AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
