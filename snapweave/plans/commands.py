@@ -132,15 +132,20 @@ def cohort(
             "gid_preference": list(preference), "output_format": "json" if as_json else "tsv",
         }
         sidecar(report_json, ready, "cohort", block, states, config, opts, began)
-    lines = [
-        *R.files_block(ready.releases), "", *R.bridge_block(ready.events.count(), ready.manual_count), "", f"Cohort input: {Path(cohort_path).name} ({len(wanted)} individuals)",
-        f"  Resolved in latest version:  {n['latest']}", f"  Added after earliest:        {n['added']}", f"  Removed before latest:       {n['removed']}", *R.class_block(by_class, ready.versions), "",
-        f"Wrote {Path(out).name} ({n_rows} rows × {n_cols} cols)", *([f"Sample turnover within cohort: {R.percent(worst['removal_rate'])} — {worst['state'].upper()}"] if worst else []), "", f"Done in {time.perf_counter() - began:.1f}s.",
-    ]
+    written = [R.WROTE_ROWS.format(name=Path(out).name, rows=n_rows, cols=n_cols)]
+    written += [R.COHORT_TURNOVER.format(rate=R.percent(worst["removal_rate"]), state=worst["state"].upper())] if worst else []
+    text = R.blocks(
+        R.files_block(ready.releases),
+        R.bridge_block(ready.events.count(), ready.manual_count),
+        [line.format(name=Path(cohort_path).name, n=len(wanted), latest=n["latest"], added=n["added"], removed=n["removed"]) for line in R.COHORT],
+        R.class_block(by_class, ready.versions),
+        written,
+        [R.DONE.format(seconds=time.perf_counter() - began)],
+    )
     if not opts.quiet:
-        sys.stdout.write("\n".join(lines) + "\n")
+        sys.stdout.write(text)
     verdict(failed)
-    return "\n".join(lines) + "\n"
+    return text
 
 
 def _write_manifest(rows, versions: list[str], out: str, as_json: bool) -> tuple[int, int]:
@@ -214,13 +219,16 @@ def diff(
         config = {"turnover_warn": turnover[0], "turnover_fail": turnover[1], "substantive_regroup_fail": regroup_fail, "include_class": list(include), "all_events": all_events, "output_format": "tsv" if as_tsv else "json"}
         sidecar(report_json, ready, "diff", block, states, config, opts, began)
     mode = "TSV" if as_tsv else "JSON"
-    lines = [
-        *R.files_block([a, b]), "", *R.bridge_block(ready.events.count(), ready.manual_count), "", "Diff events:", f"  added:                {n['n_added']}", f"  removed:              {n['n_removed']}",
-        f"  genetic_id_renamed:   {n['n_gid_renamed']}", f"  master_id_renamed:    {n['n_mid_renamed']}", *R.class_block(n["by_class"], [a.label, b.label]), "", f"Wrote {Path(out).name} ({mode})" if out else f"Emitted {mode} to stdout",
-        f"Sample turnover: {R.percent(gate['removal_rate'])} — {gate['state'].upper()}", f"Substantive regroup gate: {regroup['state'].upper()}", "", f"Done in {time.perf_counter() - began:.1f}s.",
-    ]
+    summary = R.blocks(
+        R.files_block([a, b]),
+        R.bridge_block(ready.events.count(), ready.manual_count),
+        [line.format(**n) for line in R.EVENTS],
+        R.class_block(n["by_class"], [a.label, b.label]),
+        [R.WROTE.format(name=Path(out).name, mode=mode) if out else R.EMITTED.format(mode=mode), R.DIFF_TURNOVER.format(rate=R.percent(gate["removal_rate"]), state=gate["state"].upper()), R.DIFF_REGROUP.format(state=regroup["state"].upper())],
+        [R.DONE.format(seconds=time.perf_counter() - began)],
+    )
     if not opts.quiet:
-        (sys.stdout if out else sys.stderr).write("\n".join(lines) + "\n")
+        (sys.stdout if out else sys.stderr).write(summary)
     verdict(failed)
     return result
 

@@ -11,8 +11,40 @@ from pyspark.sql import DataFrame
 from ..functions.labels import CHANGE_CLASSES
 from ..operators.manifest import prefix
 
+# What commands print and write.
 MISSING = "--"
 REPORT_COLUMNS = ("event_class", "individual_id", "details")
+TURNOVER = "sample turnover gate ({state}): {v_old} -> {v_new}: removed {rate} (warn={warn}, fail={fail})"
+REGROUP = "substantive regroup gate ({state}): {n} substantive_regroup events exceeds threshold of {threshold}"
+COVERAGE = "cohort coverage gate ({state}): {resolved}/{requested} resolved ({rate}; warn<{warn}, fail<{fail})"
+LOADED = "Loaded {n} .anno file(s):"
+FILE = "  [{label}] {name}: {rows:,} rows × {cols} cols, class {layout}"
+BRIDGE = (
+    "Cross-version bridge:",
+    "  GID-stable MID-rename detection:  {events} events",
+    "  Manual --mid-bridge entries:      {manual}",
+    "  Cross-lab MID collision check:    no collisions detected",
+)
+CHANGES = "Group ID changes ({first} → {last}):"
+COHORT = (
+    "Cohort input: {name} ({n} individuals)",
+    "  Resolved in latest version:  {latest}",
+    "  Added after earliest:        {added}",
+    "  Removed before latest:       {removed}",
+)
+EVENTS = (
+    "Diff events:",
+    "  added:                {n_added}",
+    "  removed:              {n_removed}",
+    "  genetic_id_renamed:   {n_gid_renamed}",
+    "  master_id_renamed:    {n_mid_renamed}",
+)
+WROTE_ROWS = "Wrote {name} ({rows} rows × {cols} cols)"
+WROTE, EMITTED = "Wrote {name} ({mode})", "Emitted {mode} to stdout"
+COHORT_TURNOVER = "Sample turnover within cohort: {rate} — {state}"
+DIFF_TURNOVER = "Sample turnover: {rate} — {state}"
+DIFF_REGROUP = "Substantive regroup gate: {state}"
+DONE = "Done in {seconds:.1f}s."
 
 
 def cell(value) -> str:
@@ -116,33 +148,33 @@ def percent(rate: float, digits: int = 1) -> str:
 
 
 def turnover_message(r, warn: float, fail: float) -> str:
-    return f"sample turnover gate ({r['state']}): {r['v_old']} -> {r['v_new']}: removed {percent(r['removal_rate'])} (warn={percent(warn)}, fail={percent(fail)})"
+    return TURNOVER.format(state=r["state"], v_old=r["v_old"], v_new=r["v_new"], rate=percent(r["removal_rate"]), warn=percent(warn), fail=percent(fail))
 
 
 def regroup_message(r, threshold: int) -> str:
-    return f"substantive regroup gate ({r['state']}): {r['n_events']} substantive_regroup events exceeds threshold of {threshold}"
+    return REGROUP.format(state=r["state"], n=r["n_events"], threshold=threshold)
 
 
 def coverage_message(r, warn: float, fail: float) -> str:
-    return f"cohort coverage gate ({r['state']}): {r['resolved']}/{r['requested']} resolved ({percent(r['coverage'])}; warn<{percent(warn, 0)}, fail<{percent(fail, 0)})"
+    return COVERAGE.format(state=r["state"], resolved=r["resolved"], requested=r["requested"], rate=percent(r["coverage"]), warn=percent(warn, 0), fail=percent(fail, 0))
+
+
+def blocks(*parts: list[str]) -> str:
+    """Paragraphs of lines; empty ones are left out."""
+    return "\n\n".join("\n".join(p) for p in parts if p) + "\n"
 
 
 def files_block(releases) -> list[str]:
-    return [f"Loaded {len(releases)} .anno file(s):", *(f"  [{r.label}] {Path(r.path).name}: {r.n_rows():,} rows × {r.n_columns} cols, class {r.layout.name}" for r in releases)]
+    return [LOADED.format(n=len(releases)), *(FILE.format(label=r.label, name=Path(r.path).name, rows=r.n_rows(), cols=r.n_columns, layout=r.layout.name) for r in releases)]
 
 
 def bridge_block(n_events: int, n_manual: int) -> list[str]:
-    return [
-        "Cross-version bridge:",
-        f"  GID-stable MID-rename detection:  {n_events} events",
-        f"  Manual --mid-bridge entries:      {n_manual}",
-        "  Cross-lab MID collision check:    no collisions detected",
-    ]
+    return [line.format(events=n_events, manual=n_manual) for line in BRIDGE]
 
 
 def class_block(by_class: dict[str, int], versions: list[str]) -> list[str]:
     shown = [f"  {c:34s}  {by_class[c]}" for c in CHANGE_CLASSES if by_class.get(c)]
-    return ["", f"Group ID changes ({versions[0]} → {versions[-1]}):", *shown] if shown else []
+    return [CHANGES.format(first=versions[0], last=versions[-1]), *shown] if shown else []
 
 
 def schema_text(release) -> str:
