@@ -76,6 +76,22 @@ def fill(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: Fewer than this many groups can each hold more than one part in this many of all rows.
+HOT_GROUPS = 1000
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with one row per group of them, of which ``size`` tells the rows.
+
+    Groups of more than n_rows / HOT_GROUPS rows are fewer than HOT_GROUPS, so
+    these are broadcast and their rows stay where they are; only rows of
+    smaller groups shuffle, and none of those groups is a task's burden.
+    """
+    hot = totals.where(F.col(size) * HOT_GROUPS > n_rows)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (id, root), root the smallest id; ids without an edge are absent.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fill, staged
+from .common import fill, staged, with_totals
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits per row, and the most bits of a filter: the words that are broadcast stay under 16 MB for any input.
@@ -73,12 +73,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and the two passes run over those.
     """
     prints = staged(docs.select(F.col(id_col).alias("id"), text_sha256(text_col).alias("sha")))
-    bits = bits or filter_bits(prints.count())
+    n_rows = prints.count()
+    bits = bits or filter_bits(n_rows)
     seen = with_suspicion(prints, "sha", repeated_cells(prints, "sha", bits), bits)
     alone = seen.where(~F.col("suspect")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     per_id = seen.where("suspect").groupBy("sha", "id").agg(F.count("*").alias("n"))
     group = per_id.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    copies = per_id.join(group, "sha").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    copies = with_totals(per_id, group, ["sha"], "group_size", n_rows).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     shared = copies.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
     return alone.union(shared).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
