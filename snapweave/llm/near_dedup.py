@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, fill, for_python, per_process, runs, staged
+from .common import Forest, components, fill, for_python, per_process, runs, staged, with_totals
 from .exact_dedup import filter_bits, present_cells, with_suspicion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -273,10 +273,10 @@ def links(sketches: DataFrame, heads: DataFrame, least: float = LEAST) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per input row: id_col, class_id and kept (class_id is the row's own id; a null id is kept, without class)."""
     sketches = staged(sketched(docs, id_col, text_col))
-    equal = sketches.groupBy("c1", "c2").agg(F.min("id").alias("head"))
-    member = sketches.select("id", "c1", "c2").join(equal, ["c1", "c2"]).select("id", "head")
+    equal = sketches.groupBy("c1", "c2").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+    member = with_totals(sketches.select("id", "c1", "c2"), equal, ["c1", "c2"], "copies", sketches.count()).select("id", "head")
     of = staged(member.groupBy("id").agg(F.array_sort(F.collect_set("head")).alias("heads")))
-    heads = staged(sketches.select("id", "c1", "c2", "bands").join(equal.withColumnRenamed("head", "id"), ["id", "c1", "c2"], "left_semi").dropDuplicates(["id", "c1", "c2"]))
+    heads = staged(sketches.select("id", "c1", "c2", "bands").join(equal.select(F.col("head").alias("id"), "c1", "c2"), ["id", "c1", "c2"], "left_semi").dropDuplicates(["id", "c1", "c2"]))
     #: Rows that repeat an id with other texts tie their classes together.
     ties = of.where(F.size("heads") > 1).select(F.explode(F.slice("heads", F.lit(2), F.size("heads"))).alias("a"), F.col("heads")[0].alias("b"))
     roots = components(links(sketches, heads, least).union(ties))
