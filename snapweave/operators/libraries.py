@@ -28,37 +28,40 @@ def entries(samples: DataFrame) -> DataFrame:
     return rows.select("canonical", "version", "version_rank", gid.alias("gid"), stem(gid).alias("stem"), suffix(gid).alias("suffix"))
 
 
+def key_nodes(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``node``: canonical id, latest release of the key, and the key, ordered in this way."""
+    top = F.max(F.struct("version_rank", "version")).over(Window.partitionBy("canonical", "gid"))
+    return rows.withColumn("top", top).withColumn("node", F.struct("canonical", "top.version_rank", "top.version", "gid")).drop("top")
+
+
 def key_edges(rows: DataFrame) -> DataFrame:
-    """(canonical, a, b): rules A and B. Neighbouring releases meet in windows; rows are counted, not keys."""
+    """(a, b): nodes tied by rules A and B. Neighbouring releases meet in windows; rows are counted, not keys."""
+    bare, dressed = F.col("suffix").isNull(), F.col("suffix").isNotNull()
     by_stem = rows.groupBy("canonical", "stem", "version_rank").agg(
-        F.count_if(F.col("suffix").isNull()).alias("bare"), F.count_if(F.col("suffix").isNotNull()).alias("dressed"), F.min(F.when(F.col("suffix").isNotNull(), F.col("gid"))).alias("gid")
+        F.count_if(bare).alias("bare"), F.count_if(dressed).alias("dressed"), F.max(F.when(bare, F.col("node"))).alias("bare_node"), F.max(F.when(dressed, F.col("node"))).alias("dressed_node")
     )
     w = Window.partitionBy("canonical", "stem").orderBy("version_rank")
-    rule_a = by_stem.withColumn("o", F.lag(F.struct("version_rank", "bare", "dressed")).over(w)).where(
+    rule_a = by_stem.withColumn("o", F.lag(F.struct("version_rank", "bare", "dressed", "bare_node")).over(w)).where(
         "o.version_rank = version_rank - 1 and o.bare > 0 and o.dressed = 0 and bare = 0 and dressed = 1"
     )
-    by_suffix = rows.groupBy("canonical", "suffix", "version_rank").agg(F.count("*").alias("n"), F.min("gid").alias("gid"), F.min("stem").alias("stem"))
+    by_suffix = rows.groupBy("canonical", "suffix", "version_rank").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("stem").alias("stem"))
     w = Window.partitionBy("canonical", "suffix").orderBy("version_rank")
-    rule_b = by_suffix.withColumn("o", F.lag(F.struct("version_rank", "n", "gid", "stem")).over(w)).where("o.version_rank = version_rank - 1 and o.n = 1 and n = 1 and o.stem <> stem")
-    return rule_a.select("canonical", F.col("stem").alias("a"), F.col("gid").alias("b")).union(rule_b.select("canonical", "o.gid", "gid"))
+    rule_b = by_suffix.withColumn("o", F.lag(F.struct("version_rank", "n", "node", "stem")).over(w)).where("o.version_rank = version_rank - 1 and o.n = 1 and n = 1 and o.stem <> stem")
+    return rule_a.select(F.col("o.bare_node").alias("a"), F.col("dressed_node").alias("b")).union(rule_b.select("o.node", "node"))
 
 
 def library_tokens(samples: DataFrame) -> DataFrame:
-    """(canonical, token, version, version_rank, gid, chain_status): one row per library and release it is in."""
-    rows = entries(samples)
-    keys = rows.groupBy("canonical", "gid").agg(F.max(F.struct("version_rank", "version")).alias("top"))
-    edges = key_edges(rows)
-
-    def node(side: str) -> DataFrame:
-        return keys.select("canonical", F.col("gid").alias(side), F.struct("canonical", "top.version_rank", "top.version", "gid").alias(f"n_{side}"))
-
-    ends = edges.join(node("a"), ["canonical", "a"]).join(node("b"), ["canonical", "b"])
-    roots = largest_members(ends.select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))).select(F.col("node.canonical").alias("rc"), F.col("node.gid").alias("rg"), F.col("root.gid").alias("root_gid"))
-    named = rows.select("canonical", "gid", "version", "version_rank").join(roots, (F.col("canonical") == F.col("rc")) & (F.col("gid") == F.col("rg")), "left").withColumn("token", F.coalesce("root_gid", "gid"))
-    per = named.groupBy("canonical", "token", "version", "version_rank").agg(F.min("gid").alias("gid"), F.count_distinct("gid").alias("keys"))
+    """(canonical, token, version, version_rank, gid, chain_status): one row per library and release it is in.
+
+    The parsed rows are read by three aggregates and kept, spilling to disk, with their lineage.
+    """
+    rows = key_nodes(entries(samples)).persist()
+    roots = largest_members(key_edges(rows)).select(F.col("node.canonical").alias("rc"), F.col("node.gid").alias("rg"), F.col("root.gid").alias("root_gid"))
+    named = rows.join(roots, (F.col("canonical") == F.col("rc")) & (F.col("gid") == F.col("rg")), "left").withColumn("token", F.coalesce("root_gid", "gid"))
+    per = named.groupBy("canonical", "token", "version", "version_rank").agg(F.min("gid").alias("gid"), (F.min("gid") != F.max("gid")).alias("several"))
     w = Window.partitionBy("canonical", "token")
-    status = F.when(F.max("keys").over(w) > 1, "ambiguous").when(F.count("*").over(w) > 1, "chained").otherwise("orphan")
-    return per.withColumn("chain_status", status).drop("keys")
+    status = F.when(F.max("several").over(w), "ambiguous").when(F.count("*").over(w) > 1, "chained").otherwise("orphan")
+    return per.withColumn("chain_status", status).drop("several")
 
 
 def collapsed(tokens: DataFrame, preference: Sequence[str] = PREFERENCE) -> DataFrame:

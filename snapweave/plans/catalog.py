@@ -209,7 +209,8 @@ class Ready:
 
     def manifest(self, collapse: bool = False) -> DataFrame:
         labels = M.labelled(self.cohort(), self.bridge, V1)
-        return M.manifest(labels, self.samples, L.library_tokens(self.samples), VERSIONS, collapse)
+        own = self.samples.join(labels.select("canonical"), "canonical", "left_semi")
+        return M.manifest(labels, self.samples, L.library_tokens(own), VERSIONS, collapse)
 
 
 def _ready(spark: SparkSession, sf_dir: str) -> Ready:
