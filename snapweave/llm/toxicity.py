@@ -43,7 +43,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("disabled", "blind", "deaf"),
     ("old", "young"),
 )
-PREFIXES, MOST_PER_LABEL, MOST_FEATURES, LEAST_DF = (4, 6), 6000, 20_000, 4
+PREFIXES, MOST_PER_LABEL, MOST_FEATURES, LEAST_DF = (4, 6), 4000, 20_000, 4
 
 
 def _words():
