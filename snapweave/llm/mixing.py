@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fill, staged
 
-RANGES = 1024
+RANGES, MOST_BROADCAST = 1024, 100_000
 
 
 def words(text: str | Column) -> Column:
@@ -91,13 +91,28 @@ def plan_mix(sized: DataFrame, most_epochs: int = 3, ranges: int = RANGES) -> Da
     return staged(targets.join(edges, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"))
 
 
-def apply_plan(rows: DataFrame, plan: DataFrame, source: Column, id_: Column, key: Column, size: Column) -> DataFrame:
-    """``rows`` with source_size, target and taken. The plan has one row per source; Spark broadcasts it while it is small."""
+def _planned(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
+    """``rows`` with their sources' plans.
+
+    A plan of up to MOST_BROADCAST sources is broadcast. Of a larger one only
+    the largest sources are, those with more than a thousandth of all tokens,
+    and the rows of the others shuffle.
+    """
     p = plan.withColumnRenamed("source", "plan_source")
+    same = source.eqNullSafe(F.col("plan_source"))
+    if plan.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(p), same)
+    total = plan.agg(F.sum("source_size")).first()[0]
+    large = F.broadcast(p.where(F.col("source_size") * 1000 > total))
+    return rows.join(large, same).unionByName(rows.join(large, same, "left_anti").join(p, same))
+
+
+def apply_plan(rows: DataFrame, plan: DataFrame, source: Column, id_: Column, key: Column, size: Column) -> DataFrame:
+    """``rows`` with source_size, target and taken."""
     earlier = (key < F.col("edge_key")) | ((key == F.col("edge_key")) & F.coalesce(id_ < F.col("edge_id"), id_.isNull() & F.col("edge_id").isNotNull()))
     share = F.floor(F.col("edge_taken") * size / F.greatest(F.col("edge_size"), F.lit(1)))
     part = F.when(F.col("edge_key").isNull(), 0).when(earlier, size).when((key == F.col("edge_key")) & id_.eqNullSafe(F.col("edge_id")), share).otherwise(0)
-    return rows.join(p, source.eqNullSafe(F.col("plan_source")), "left").withColumn("taken", (F.col("epochs") * size + part).cast("long"))
+    return _planned(rows, plan, source).withColumn("taken", (F.col("epochs") * size + part).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, most_epochs: int = 3) -> DataFrame:

@@ -31,9 +31,10 @@ def test_targets_fill_up_to_their_caps(spark, sizes):
         assert math.isclose(got[name], w, rel_tol=1e-12, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 1024])
-def test_sources_take_their_targets_in_order_of_keys(spark, docs, odd, none, ranges, monkeypatch):
-    monkeypatch.setattr(X, "RANGES", ranges)
+@pytest.mark.parametrize(("ranges", "most"), [(1, 100_000), (7, 0), (1024, 100_000)])
+def test_sources_take_their_targets_in_order_of_keys(spark, docs, odd, none, ranges, most, monkeypatch):
+    monkeypatch.setattr(X, "MOST_BROADCAST", most)
+    monkeypatch.setattr(X.plan_mix, "__defaults__", (3, ranges))
     for df in (docs, odd):
         rows = [r.asDict() for r in X.mix(df).join(df.select("doc_id", "source").distinct(), "doc_id", "left").collect()] if df is docs else [r.asDict() | {"source": None} for r in X.mix(df).collect()]
         by = defaultdict(list)
