@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fill, for_python, per_process, staged
+from .common import fill, for_python, per_process, staged, with_totals
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -88,15 +88,16 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """Per hash: n_repos and n_owners that hold it."""
-    held = scanned.select("repo", "owner", F.explode("found.hash").alias("hash")).select("hash", F.struct("repo").alias("r"), F.struct("owner").alias("o")).distinct()
-    return held.groupBy("hash").agg(F.count_distinct("r").alias("n_repos"), F.count_distinct("o").alias("n_owners"))
+    """Per hash: n_repos and n_owners that hold it, and n_found, how often it was found."""
+    held = scanned.select("repo", "owner", F.explode("found.hash").alias("hash")).groupBy("hash", F.struct("repo").alias("r"), F.struct("owner").alias("o")).agg(F.count("*").alias("n"))
+    return held.groupBy("hash").agg(F.count_distinct("r").alias("n_repos"), F.count_distinct("o").alias("n_owners"), F.sum("n").alias("n_found"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", widely: int = WIDELY) -> DataFrame:
     """One row per document: id_col and spans, an array of (start, rank, kind, end, n_repos, n_owners, class) in order."""
     scanned = staged(scan(docs, id_col, text_col, repo_col, owner_col))
-    seen = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*").join(ownership(scanned), "hash")
+    found = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    seen = with_totals(found, ownership(scanned), ["hash"], "n_found", found.count())
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     verdict = F.when(F.col("n_owners") >= widely, "copied").when(F.col("n_owners") == 1, "live").otherwise("shared")
     span = F.struct("start", F.col("kind").alias("rank"), kind.alias("kind"), "end", "n_repos", "n_owners", verdict.alias("class"))
