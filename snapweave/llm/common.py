@@ -63,6 +63,19 @@ def for_python(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a partition's batches; afterwards the worker, which waits for other tasks, gives free memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ctypes
+
+        yield from work(batches)
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def per_process(key: str, make: Callable):
     """One value per Python worker process, kept from task to task."""
     store = sys.modules.setdefault("_snapweave_store", types.ModuleType("_snapweave_store"))

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, fill, for_python, per_process, runs, staged, with_totals
+from .common import Forest, components, fill, for_python, per_process, runs, staged, trimmed, with_totals
 from .exact_dedup import filter_bits, present_cells, with_suspicion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,7 +57,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         import hashlib
 
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode(errors="replace"), digest_size=8).digest(), "big")
         return value
@@ -170,7 +170,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), fill(text_col).alias("text")).where("id is not null")
-    return for_python(slim).mapInPandas(sketch, SKETCH)
+    return for_python(slim).mapInPandas(trimmed(sketch), SKETCH)
 
 
 def unpacked(elements: bytes, weight: bytes):
@@ -227,7 +227,7 @@ def _compare(rows: DataFrame, least: float) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return for_python(rows).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "a long, b long")
+    return for_python(rows).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(trimmed(compared), "a long, b long")
 
 
 def _block(n: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import for_python, per_process, staged
+from .common import for_python, per_process, staged, trimmed
 from .tokens import VOCABULARY, tokenizer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,7 +78,7 @@ def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ENCODED.split(", ")])
 
-    return for_python(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, ENCODED)
+    return for_python(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
 
 def combinations(units: int = UNITS, most: int = 4) -> list[tuple[int, ...]]:
@@ -284,6 +284,6 @@ def sequences(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_c
                 out += [(c["sequence_id"], c["offset"], name, c["start"], ids[c["start"] : c["start"] + c["length"]]) for c in cuts]
             yield pd.DataFrame(out, columns=["sequence_id", "offset", "id", "start", "ids"])
 
-    parts = for_python(joined).mapInPandas(cut, "sequence_id long, offset long, id string, start long, ids array<int>")
+    parts = for_python(joined).mapInPandas(trimmed(cut), "sequence_id long, offset long, id string, start long, ids array<int>")
     one = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "start", "ids"))).alias("p"))
     return one.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.id").alias("doc_ids"), F.col("p.start").alias("starts"), F.transform("p", lambda p: F.size(p["ids"])).alias("lengths"))

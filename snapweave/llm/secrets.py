@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fill, for_python, per_process, staged, with_totals
+from .common import fill, for_python, per_process, staged, trimmed, with_totals
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,7 +83,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
 
     slim = docs.select(F.col(id_col).alias("id"), fill(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     kind = slim.schema["id"].dataType.simpleString()
-    out = for_python(slim).select(F.col("id").cast("string").alias("id"), "text", "repo", "owner").mapInPandas(search, "row long, id string, repo string, owner string, found array<struct<kind:int,start:int,end:int,hash:long>>")
+    out = for_python(slim).select(F.col("id").cast("string").alias("id"), "text", "repo", "owner").mapInPandas(trimmed(search), "row long, id string, repo string, owner string, found array<struct<kind:int,start:int,end:int,hash:long>>")
     return out.withColumn("id", F.col("id").cast(kind))
 
 

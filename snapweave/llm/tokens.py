@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, per_process
+from .common import for_python, per_process, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,4 +97,4 @@ def section_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    return for_python(slim).mapInArrow(count, f"id {kind}, section int, start long, end long, n_tokens long, n_crossing long").withColumnRenamed("id", id_col)
+    return for_python(slim).mapInArrow(trimmed(count), f"id {kind}, section int, start long, end long, n_tokens long, n_crossing long").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fill, for_python, per_process
+from .common import fill, for_python, per_process, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,7 +118,7 @@ def gather(texts: DataFrame, sets: Sequence[Sequence[str]] = IDENTITY_TERMS) ->
                 out.append((name, label, numbers(features_of(find(text))), gained, lost))
             yield pd.DataFrame(out, columns=["id", "label", "seen", "gained", "lost"])
 
-    return for_python(texts).mapInPandas(extract, "id string, label int, seen binary, gained array<binary>, lost array<binary>")
+    return for_python(texts).mapInPandas(trimmed(extract), "id string, label int, seen binary, gained array<binary>, lost array<binary>")
 
 
 def fit(rows: list, odds: float, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 500, most_features: int = MOST_FEATURES, least_df: int = LEAST_DF) -> Model:
@@ -208,8 +208,7 @@ def score_of(model: Model, text: str | Column) -> Column:
     """A score from 0 to 1; the model (at most MOST_FEATURES weights) goes with the tasks."""
     weights, intercept = model.weights, model.intercept
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator) -> Iterator:
         import math
 
         find = _words()
@@ -225,7 +224,7 @@ def score_of(model: Model, text: str | Column) -> Column:
                 for w in set(find(text.lower())):
                     got = memo.get(w)
                     if got is None:
-                        if len(memo) > 150_000:
+                        if len(memo) > 60_000:
                             memo.clear()
                         got = memo[w] = active(w)
                     if got:
@@ -234,4 +233,8 @@ def score_of(model: Model, text: str | Column) -> Column:
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
             yield pd.Series(out, dtype="float64")
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from trimmed(scores)(batches)
+
     return score(fill(text))

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, for_python, runs, staged
+from .common import components, for_python, runs, staged, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,7 +84,7 @@ def _hashes(points: DataFrame, tables: int, probes: int) -> DataFrame:
                 codes = bucket_codes(x, tables, probes)
                 yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "n": pdf["n"], "vector": [v.tobytes() for v in x], "codes": list(codes.reshape(len(x), -1))})
 
-    return for_python(points).mapInPandas(hashed, "id long, label string, n long, vector binary, codes array<int>")
+    return for_python(points).mapInPandas(trimmed(hashed), "id long, label string, n long, vector binary, codes array<int>")
 
 
 def compare_blocks(pdf, dims: int, tables: int, probes: int, least: float):
@@ -148,7 +148,7 @@ def _compare(rows: DataFrame, dims: int, tables: int, probes: int, least: float)
             yield pd.DataFrame(dict(zip(("id", "links", "root"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["label", "table", "code", "ti", "tj"]
-    return for_python(rows).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "id long, links long, root long")
+    return for_python(rows).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(trimmed(compared), "id long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
