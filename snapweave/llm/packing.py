@@ -17,8 +17,11 @@ running sums over those; no group of pieces is gathered in one task. Texts are
 encoded once and never shuffled: the CRC of a cut piece follows from those of
 prefixes on the grid.
 
-A null text counts as empty and packs as its end id alone; rows that repeat
-are packed as often as they occur.
+A null text counts as empty and packs as its end id alone; a text of any length
+is cut as often as it needs; rows that repeat are packed as often as they
+occur, told apart by ``row``, and so are rows of equal or null ids. An empty
+table gives no pieces. Columns other than id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,12 +43,12 @@ UNITS = WINDOW // GRID
 BINS = range(1, UNITS)
 
 ENCODED = (
-    "row long, id string, n long, part int, n_full int, full_at long, full_crcs array<int>, main int, main_rank long, main_crcs array<int>, tail int, tail_at long, tail_ids binary"
+    "row long, id string, n long, part int, n_full int, full_at long, full_crcs array<int>, main int, main_rank long, main_crcs array<int>, tail int, tail_at long, tail_ids binary, ids array<int>"
 )
 
 
-def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """One slim row per document: lengths, CRCs on the grid, the tail's ids, and its ranks within its input partition."""
+def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """One slim row per document: lengths, CRCs on the grid, the tail's ids, its ranks within its input partition, and all ids if asked for."""
 
     def encode(batches: Iterator) -> Iterator:
         from zlib import crc32
@@ -58,7 +61,7 @@ def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) ->
         part = TaskContext.get().partitionId()
         row, full_at, tail_at, ranks = part << 33, 0, 0, [0] * UNITS
         signed = lambda x: x - (1 << 32) if x >> 31 else x
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
         for batch in batches:
             out = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -72,7 +75,7 @@ def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) ->
                     crc = crc32(data[at : at + GRID * 4], crc)
                     crcs.append(signed(crc))
                     at += GRID * 4
-                out.append((row, name, n, part, full, full_at, [signed(crc32(data[k * WINDOW * 4 : (k + 1) * WINDOW * 4])) for k in range(full)], main, ranks[main], crcs, tail, tail_at, bytes(data[at:])))
+                out.append((row, name, n, part, full, full_at, [signed(crc32(data[k * WINDOW * 4 : (k + 1) * WINDOW * 4])) for k in range(full)], main, ranks[main], crcs, tail, tail_at, bytes(data[at:]), ids if with_ids else None))
                 row, full_at, tail_at = row + 1, full_at + full, tail_at + tail
                 ranks[main] += 1
             if out:
@@ -192,13 +195,13 @@ def _running(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per piece: id_col, row, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """One row per piece: id_col, row, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids if asked for.
 
     ``row`` tells apart rows that repeat an id.
     """
     spark = docs.sparkSession
-    rows = staged(encode_rows(docs, id_col, text_col, vocabulary))
+    rows = staged(encode_rows(docs, id_col, text_col, vocabulary, with_ids))
     counts = {r["main"]: r["n"] for r in rows.where("main > 0").groupBy("main").agg(F.count("*").alias("n")).collect()}
     totals = rows.agg(F.coalesce(F.sum("n_full"), F.lit(0)).alias("full")).first()
 
@@ -264,26 +267,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             F.when(F.col("fits") < F.col("tail"), F.array(piece(tail_start + F.col("fits"), F.col("tail") - F.col("fits"), ids(F.col("fits"), F.col("tail") - F.col("fits")), seq_of(F.col("at_tail")) + 1, F.lit(0)))).otherwise(none),
         )
     )
-    out = r.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "row", F.col("n").alias("doc_tokens"), F.explode(F.concat(full, main, tail)).alias("p"))
-    return out.select(id_col, "row", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset")
+    out = r.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "row", F.col("n").alias("doc_tokens"), F.explode(_with_ids(F.concat(full, main, tail), with_ids)).alias("p"))
+    return out.select(id_col, "row", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset", *["p.ids"] * with_ids)
 
 
-def sequences(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The packed ids: sequence_id, ids, and of each piece doc_ids, starts, lengths - one row per sequence. Ids of documents must be distinct and not null."""
-    cuts = pieces.groupBy(id_col).agg(F.collect_list(F.struct("sequence_id", "offset", "start", "length")).alias("cuts"))
-    joined = docs.select(id_col, F.col(text_col).alias("text")).join(cuts, id_col).select(F.col(id_col).cast("string").alias("id"), "text", "cuts")
+def _with_ids(pieces: Column, asked: bool) -> Column:
+    """Each piece with its slice of the document's ids."""
+    if not asked:
+        return pieces
+    return F.transform(pieces, lambda p: F.struct(*[p[c].alias(c) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")], F.slice("ids", (p["start"] + 1).cast("int"), p["length"].cast("int")).alias("ids")))
 
-    def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        get = tokenizer(vocabulary)[0]
-        for pdf in batches:
-            out = []
-            for name, text, cuts in zip(pdf["id"], pdf["text"], pdf["cuts"], strict=True):
-                ids = [*get(text or ""), END]
-                out += [(c["sequence_id"], c["offset"], name, c["start"], ids[c["start"] : c["start"] + c["length"]]) for c in cuts]
-            yield pd.DataFrame(out, columns=["sequence_id", "offset", "id", "start", "ids"])
-
-    parts = for_python(joined).mapInPandas(trimmed(cut), "sequence_id long, offset long, id string, start long, ids array<int>")
-    one = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "start", "ids"))).alias("p"))
-    return one.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.id").alias("doc_ids"), F.col("p.start").alias("starts"), F.transform("p", lambda p: F.size(p["ids"])).alias("lengths"))
+def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The packed sequences from pack(with_ids=True): sequence_id, ids, and of each piece doc_ids, rows, starts and lengths. At most a window's pieces meet in a row."""
+    one = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.col(id_col).alias("id"), "row", "start", "length", "ids"))).alias("p"))
+    return one.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.id").alias("doc_ids"), F.col("p.row").alias("rows"), F.col("p.start").alias("starts"), F.col("p.length").alias("lengths"))

@@ -12,7 +12,6 @@ from snapweave.llm import packing as X
 @pytest.fixture(scope="module")
 def encode():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, X.END]
 
 
@@ -50,16 +49,27 @@ def test_empty_tables(none):
     assert X.pack(none).count() == 0
 
 
-def test_packed_ids_are_those_of_the_documents(docs, encode):
-    some = docs.where("doc_id < 40")
-    back = defaultdict(dict)
-    for r in X.sequences(some, X.pack(some)).collect():
-        assert len(r["ids"]) <= X.WINDOW
-        at = 0
-        for doc, start, length in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
-            back[int(doc)][start] = r["ids"][at : at + length]
-            at += length
-    assert {i: [t for _, part in sorted(parts.items()) for t in part] for i, parts in back.items()} == {r["doc_id"]: encode(r["text"]) for r in some.collect()}
+def test_texts_full_of_added_tokens(spark, encode):
+    mark = "<|endoftext|>"
+    texts = [mark, f"{mark}a", f"a{mark}", f"a {mark} b", mark * 3, f"x{mark}{mark} y", f"{mark}\n{mark}", "<|endof" + mark + "text|>", mark * 3000, "<|endoftext |>"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), encode)
+    assert len(encode(f"a {mark} b")) == 5
+
+
+def test_sequences_hold_the_ids_of_all_rows(docs, odd, encode):
+    for some in (docs.where("doc_id < 40"), odd):
+        packed = X.sequences(X.pack(some, with_ids=True)).collect()
+        back = defaultdict(dict)
+        for r in packed:
+            assert len(r["ids"]) <= X.WINDOW
+            at = 0
+            for doc, row, start, length in zip(r["doc_ids"], r["rows"], r["starts"], r["lengths"], strict=True):
+                back[row, doc][start] = r["ids"][at : at + length]
+                at += length
+            assert at == len(r["ids"])
+        assert sum(len(r["ids"]) < X.WINDOW for r in packed) <= 1
+        got = Counter((doc, tuple(t for _, part in sorted(parts.items()) for t in part)) for (_, doc), parts in back.items())
+        assert got == Counter((r["doc_id"], tuple(encode(r["text"]))) for r in some.collect())
 
 
 def test_least_squares_agree_with_the_conditions_of_optimality():
