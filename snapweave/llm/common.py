@@ -21,35 +21,49 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder in ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="snapweave-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors. A folder per value of ``by``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    _SCRATCH[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        _delete(df._staged_at)
+
+
+def _delete(path: str) -> None:
+    spark = _SCRATCH.pop(path)
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release_scratch() -> None:
     """Delete every table that staged() has written; results that still read them must be saved before."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in list(_SCRATCH):
+        _delete(path)
 
 
 atexit.register(release_scratch)
@@ -84,6 +98,14 @@ def per_process(key: str, make: Callable):
     return getattr(store, key)
 
 
+def unused(names: list[str], wanted: str) -> str:
+    """A column name that isn't among ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def fill(text: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -125,7 +147,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
-        e = staged(small.distinct())
+        last, e = e, staged(small.distinct())
+        done_with(last)
         now = state(e)
         if now == seen:
             break

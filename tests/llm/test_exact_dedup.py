@@ -23,10 +23,10 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bits", [None, 64, 1024])
-def test_groups_by_definition_whatever_the_filter(odd, docs, bits):
-    for df in (odd, docs):
-        got = [tuple(r) for r in X.exact_groups(df, bits=bits).collect()]
+@pytest.mark.parametrize("most", [X.SEGMENT_BITS, 64, 1024])
+def test_groups_by_definition_whatever_the_segments(odd, docs, most):
+    for df in (odd, docs.limit(60)):
+        got = [tuple(r) for r in X.exact_groups(df, segment_bits=most).collect()]
         assert sorted(got, key=repr) == brute([tuple(r) for r in df.select("doc_id", "text").collect()])
 
 
@@ -40,7 +40,7 @@ def test_dropping_keeps_one_row_a_text_and_all_columns(odd, docs, none):
     assert kept.columns == odd.columns and kept.schema == odd.schema
     assert sorted((r[0] for r in kept.select("doc_id").collect()), key=repr) == sorted([3, 5, 6, 8, None, 10, 11, 12], key=repr)
     want = sum(1 for r in brute([tuple(r) for r in docs.select("doc_id", "text").collect()]) if r[3])
-    assert X.drop_exact_duplicates(docs).count() == want
+    assert X.drop_exact_duplicates(docs).count() == want == X.drop_exact_duplicates(docs, segment_bits=1024).count()
     assert X.drop_exact_duplicates(none).count() == 0 and X.exact_groups(none).count() == 0
 
 
@@ -50,5 +50,19 @@ def test_rows_that_occur_once_are_not_shuffled_and_no_python_runs(docs):
     assert plan.count("Union") >= 1 and "BroadcastHashJoin" in plan
 
 
-def test_the_filter_is_bounded():
-    assert X.filter_bits(10**12) == X.MOST_BITS and X.filter_bits(0) == 1024
+def test_a_filter_has_its_bits_a_row_at_any_size():
+    for rows in (0, 1, 10**6, 10**8, 10**11):
+        segments, bits = X.filter_shape(rows)
+        assert rows * X.BITS_PER_ROW <= segments * bits and bits <= X.SEGMENT_BITS and bits & (bits - 1) == 0
+    assert X.filter_shape(10**6)[0] == 1 and X.filter_shape(10**8)[0] == 2
+
+
+@pytest.mark.parametrize("most", [X.SEGMENT_BITS, 1 << 17])
+def test_few_unique_rows_are_suspects_and_all_copies_are(spark, most):
+    n = 20_000
+    rows = spark.range(n).selectExpr("sha2(cast(if(id % 100 = 0, id - id % 200, id) as string), 256) sha")
+    seen = [r for part in X.suspected(rows, "sha", n, segment_bits=most) for r in part.collect()]
+    copies = {r["sha"] for r in rows.groupBy("sha").count().where("count > 1").collect()}
+    assert len(seen) == n and all(r["suspect"] for r in seen if r["sha"] in copies)
+    alone = [r["suspect"] for r in seen if r["sha"] not in copies]
+    assert sum(alone) < 0.02 * len(alone)
