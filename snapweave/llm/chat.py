@@ -6,16 +6,23 @@ with ``<|past|>``. Inside roles and texts a backslash is written ``\\e``, ``<``
 a control string and unescaping gives the text back.
 
 Windows take turns in order while the running sum of their tokens stays within
-the budget; a turn longer than that has a window of its own. Later windows
-begin with the system turn, if the conversation starts with one, and with the
-last turns before the window, as many as fit ``history_tokens`` and
-``history_turns``. Loss spans cover the texts of assistant turns where they
-are new; in repeated turns they are masked, so each counts once.
+what a window holds of new turns: the whole budget in the first, later ones the
+budget without ``history_tokens`` and without the system turn, if the
+conversation starts with one. A turn longer than that has a window of its own.
+Later windows begin with the system turn and the last turns before the window,
+as many as fit ``history_tokens`` and ``history_turns``; what is repeated takes
+only the room that the new turns leave, the system turn before the history. A
+system turn of over half the budget isn't repeated and nothing is kept free for
+it. So a window is over the budget only where it is one new turn that is longer
+by itself. Loss spans cover the texts of assistant turns where they are new; in
+repeated turns they are masked, so each counts once.
 
 Turns are ordered by turn number, then role and text; null roles and texts are
 empty, a null conversation id is a conversation of its own, rows that repeat a
-turn are turns of their own. One conversation is gathered in one task; windows
-and history are found in one pass over its token counts.
+turn are turns of their own, an empty table has no windows, and other columns
+are ignored, whatever their names. One conversation is gathered in one task, as
+its windows follow from one another; windows and history are found in one pass
+over its token counts.
 """
 
 from __future__ import annotations
@@ -49,16 +56,16 @@ def token_count(text: Column) -> Column:
 
 def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:
     """One row per window: conv_col, window, formatted, loss (array of start, end in code points), n_tokens."""
+    if history_tokens < 0 or 2 * history_tokens >= budget:
+        raise ValueError("the history must be shorter than half the budget")
     role, text = fill(role_col), fill(text_col)
-    body = F.replace(escaped(role), F.lit("\n"), F.lit("\\n"))
-    one = turns.select(
-        F.col(conv_col).alias("conv"),
-        F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), F.concat(body, F.lit("\n")).alias("head"), escaped(text).alias("body"), token_count(text).alias("tokens")).alias("t"),
-    )
+    one = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), token_count(text).alias("tokens")).alias("t"))
     all_ = one.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    system = F.when(F.col("t")[0]["role"] == "system", F.slice("t", 1, 1)).otherwise(F.slice("t", 1, 0))
-    all_ = all_.withColumn("system", system)
-    all_ = all_.withColumn("room", F.lit(budget) - history_tokens - F.coalesce(F.get("system.tokens", F.lit(0)), F.lit(0)))
+    lead = F.col("t")[0]
+    all_ = all_.withColumn("first", (lead["role"] == "system").cast("int"))
+    all_ = all_.withColumn("system", F.slice("t", F.lit(1), F.when(lead["tokens"] * 2 <= budget, F.col("first")).otherwise(0)))
+    all_ = all_.withColumn("kept", F.coalesce(F.get("system.tokens", F.lit(0)), F.lit(0).cast("long")))
+    all_ = all_.withColumn("room", F.lit(budget) - history_tokens - F.col("kept"))
 
     def step(acc: Column, tokens: Column) -> Column:
         room = F.when(F.size(acc["starts"]) == 1, F.lit(budget)).otherwise(F.col("room"))
@@ -72,20 +79,27 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.array(F.lit(0)).alias("starts"))
     all_ = all_.withColumn("starts", F.aggregate("t.tokens", zero, step, lambda acc: acc["starts"]))
 
-    def hold(acc: Column, tokens: Column) -> Column:
-        more = acc["open"] & (acc["sum"] + tokens <= history_tokens)
-        return F.struct((acc["sum"] + tokens).alias("sum"), (acc["n"] + more.cast("int")).alias("n"), more.alias("open"))
-
     def window(start: Column, k: Column) -> Column:
         """The turns of a window, each with whether it is new."""
         end = F.coalesce(F.get("starts", k + 1), F.size("t"))
-        first = F.size("system")
-        far = F.greatest(F.least(F.lit(history_turns), start - first), F.lit(0))
+        new = F.aggregate(F.slice(F.col("t.tokens"), start + 1, end - start), F.lit(0).cast("long"), lambda acc, n: acc + n)
+        led = F.col("kept") + new <= budget
+        left = F.least(F.lit(history_tokens).cast("long"), budget - new - F.when(led, F.col("kept")).otherwise(0))
+
+        def hold(acc: Column, tokens: Column) -> Column:
+            more = acc["open"] & (acc["sum"] + tokens <= left)
+            return F.struct((acc["sum"] + tokens).alias("sum"), (acc["n"] + more.cast("int")).alias("n"), more.alias("open"))
+
+        far = F.greatest(F.least(F.lit(history_turns), start - F.col("first")), F.lit(0))
         before = F.reverse(F.slice(F.col("t.tokens"), F.greatest(start - far, F.lit(0)) + 1, far))
-        kept = F.aggregate(before, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")), hold, lambda acc: acc["n"])
-        mark = lambda new: lambda t: F.struct(t["role"].alias("role"), t["head"].alias("head"), t["body"].alias("body"), t["tokens"].alias("tokens"), F.lit(new).alias("new"))
+        n = F.aggregate(before, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")), hold, lambda acc: acc["n"])
+
+        def mark(new: bool):
+            head = lambda t: F.concat(F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+            return lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escaped(t["text"]).alias("body"), t["tokens"].alias("tokens"), F.lit(new).alias("new"))
+
         fresh = F.transform(F.slice("t", start + 1, end - start), mark(True))
-        again = F.transform(F.concat(F.col("system"), F.slice("t", start - kept + 1, kept)), mark(False))
+        again = F.transform(F.concat(F.slice("system", F.lit(1), led.cast("int")), F.slice("t", start - n + 1, n)), mark(False))
         return F.when(k == 0, fresh).otherwise(F.concat(again, fresh))
 
     each = all_.select("conv", F.posexplode(F.transform("starts", window)).alias("window", "p"))

@@ -73,7 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{tricky}'), (-7L, 1L, 'assistant', '{tricky}') AS t(conv_id, turn, role, text)")
     w = chat.windows(turns.union(extra))
     new = F.filter(chat.read_back("formatted"), lambda t: t["new"])
     told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
@@ -116,19 +116,23 @@ t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tokens,
          8 + length(replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), chr(10), '\n')) + 1 + length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b')) + 7 AS chars
   FROM raw),
-s AS (SELECT conv_id, max(CASE WHEN role = 'system' THEN tokens ELSE 0 END) AS sys_tokens, max(CASE WHEN role = 'system' THEN chars ELSE 0 END) AS sys_chars, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS has FROM t WHERE i = 0 GROUP BY conv_id),
+s AS (
+  SELECT conv_id, coalesce(max(tokens) FILTER (role = 'system' AND tokens <= 512), 0) AS kept, coalesce(max(chars) FILTER (role = 'system' AND tokens <= 512), 0) AS kept_chars, count(*) FILTER (role = 'system') AS has
+  FROM t WHERE i = 0 GROUP BY conv_id),
 w(conv_id, i, w, used) AS (
   SELECT conv_id, i, 0, tokens FROM t WHERE i = 0
   UNION ALL
   SELECT t.conv_id, t.i, CASE WHEN goes THEN w.w + 1 ELSE w.w END, CASE WHEN goes THEN t.tokens ELSE w.used + t.tokens END
-  FROM (SELECT w.*, t.tokens, w.used > 0 AND w.used + t.tokens > CASE WHEN w.w = 0 THEN 1024 ELSE 1024 - 192 - s.sys_tokens END AS goes FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1 JOIN s ON s.conv_id = w.conv_id) w
+  FROM (SELECT w.*, t.tokens, w.used > 0 AND w.used + t.tokens > CASE WHEN w.w = 0 THEN 1024 ELSE 1024 - 192 - s.kept END AS goes FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1 JOIN s ON s.conv_id = w.conv_id) w
   JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1),
-starts AS (SELECT conv_id, w, min(i) AS start FROM w WHERE w > 0 GROUP BY conv_id, w),
+starts AS (
+  SELECT w.conv_id, w, min(w.i) AS start, sum(tokens) AS fresh, kept + sum(tokens) <= 1024 AS led, least(192, 1024 - sum(tokens) - CASE WHEN kept + sum(tokens) <= 1024 THEN kept ELSE 0 END) AS room, has, kept_chars
+  FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i JOIN s ON s.conv_id = w.conv_id WHERE w > 0 GROUP BY w.conv_id, w, kept, has, kept_chars),
 held AS (
-  SELECT x.conv_id, x.w, t.chars, sum(t.tokens) OVER (PARTITION BY x.conv_id, x.w ORDER BY t.i DESC) AS upto
-  FROM starts x JOIN s ON s.conv_id = x.conv_id JOIN t ON t.conv_id = x.conv_id AND t.i < x.start AND t.i >= greatest(x.start - 4, s.has)),
+  SELECT x.conv_id, x.w, x.room, t.chars, sum(t.tokens) OVER (PARTITION BY x.conv_id, x.w ORDER BY t.i DESC) AS upto
+  FROM starts x JOIN t ON t.conv_id = x.conv_id AND t.i < x.start AND t.i >= greatest(x.start - 4, x.has)),
 again AS (
-  SELECT x.conv_id, sum(s.sys_chars + coalesce((SELECT sum(chars) FROM held h WHERE h.conv_id = x.conv_id AND h.w = x.w AND h.upto <= 192), 0)) AS chars FROM starts x JOIN s ON s.conv_id = x.conv_id GROUP BY x.conv_id)
+  SELECT x.conv_id, sum(CASE WHEN led THEN kept_chars ELSE 0 END + coalesce((SELECT sum(chars) FROM held h WHERE h.conv_id = x.conv_id AND h.w = x.w AND h.upto <= h.room), 0)) AS chars FROM starts x GROUP BY x.conv_id)
 SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(t.chars) + coalesce(max(a.chars), 0))::BIGINT AS formatted_chars, 1 + coalesce(max(n.n), 0) AS n_windows

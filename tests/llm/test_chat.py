@@ -1,11 +1,13 @@
 import hashlib
+import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from snapweave.llm import chat as X
-from snapweave.llm.queries import op10_chat
+from snapweave.llm.queries import ORACLE_SQL, op10_chat
 
 DATA = "/root/testdata/sf0.001"
 NAMES = "conv_id long, turn long, role string, text string"
@@ -61,6 +63,29 @@ def test_long_turns_repeated_rows_ties_and_nulls(spark):
     assert X.windows(spark.createDataFrame([], NAMES)).count() == 0
 
 
+def test_no_window_is_over_the_budget_but_one_long_turn(spark):
+    rng = random.Random(3)
+    rows = [(c, k, "system" if k == 0 and c % 4 else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 5, 20, 60, 96, 120, 300, 1100])) for c in range(150) for k in range(rng.randrange(1, 9))]
+    for limits in ({}, {"budget": 100, "history_tokens": 30, "history_turns": 2}, {"budget": 50, "history_tokens": 0}):
+        budget = limits.get("budget", X.BUDGET)
+        w = check(spark, rows, **limits)
+        assert any(r["n_tokens"] > budget for r in w) and any(not r["turns"][0]["new"] for r in w)
+        assert all(r["n_tokens"] <= budget or len(r["turns"]) == 1 for r in w)
+        lead = {c: x.count("w") + X.OVERHEAD for c, k, r, x in rows if k == 0 and r == "system"}
+        for r in (r for r in w if r["window"] and r["conv_id"] in lead):
+            new, size = sum(t["text"].count("w") + X.OVERHEAD for t in r["turns"] if t["new"]), lead[r["conv_id"]]
+            assert (r["turns"][0]["role"] == "system") == (2 * size <= budget and size + new <= budget)
+    with pytest.raises(ValueError, match="history"):
+        X.windows(spark.createDataFrame([], NAMES), budget=100, history_tokens=50)
+
+
+def test_a_long_system_turn_is_not_repeated_and_a_short_one_is(spark):
+    turns = [904, 404, 304, 24]
+    rows = [(c, k, "system" if k == 0 else "user", "w " * (n - 4)) for c, lead in ((1, 904), (2, 104)) for k, n in enumerate([lead, *turns[1:]])]
+    w = check(spark, rows)
+    assert [r["n_tokens"] for r in w if r["conv_id"] == 1] == [904, 732] and [r["n_tokens"] for r in w if r["conv_id"] == 2] == [836]
+
+
 def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, 0, "user", "x", 5, "y")], NAMES + ", window int, system string").withColumn("starts", F.lit(1))
     assert X.windows(df).count() == 1
@@ -77,3 +102,17 @@ def test_the_query_by_brute_force(spark, columns):
     got = op10_chat(spark, DATA)
     assert {r["conv_id"]: tuple(r[c] for c in columns[1:5]) for r in got.collect()} == want
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_query_by_its_sql(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(c, k, "system" if k == 0 and c % 3 else rng.choice(["user", "assistant", None]), rng.choice(["w ", "<é[", "x\\ "]) * rng.choice([0, 5, 60, 190, 250, 505, 515, 1000])) for c in range(120) for k in range(rng.randrange(1, 9))]
+    spark.createDataFrame(rows, NAMES).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    for folder in (DATA, tmp_path):
+        db.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet{'/part*' if folder is tmp_path else ''}')")
+        want = db.execute(ORACLE_SQL["op10_chat"])
+        names = [d[0] for d in want.description]
+        got = op10_chat(spark, str(folder))
+        assert sorted(got.columns) == sorted(names)
+        assert sorted(tuple(r) for r in got.select(names).collect()) == sorted(want.fetchall())
