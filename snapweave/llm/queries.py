@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, mixing, near_dedup, packing, secrets, sharding, tokens, toxicity, vectors
+from .common import fill
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -15,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that no classifier may learn from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Rows that no classifier may learn from; a null id counts as the empty text."""
+    return F.crc32(fill(F.col(id_col).cast("string")).cast("binary")) % 4 == 2
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
-    found = secrets.secret_spans(docs, repo_col="repository", owner_col="source")
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"), repo_col=F.struct("source", "lang"), owner_col="source")
     base = F.filter("spans", lambda s: s["rank"] < 3)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda name, value: F.size(F.filter("spans", lambda s: s[name] == value)).cast("long")
@@ -45,7 +45,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count("kind", k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
-        *[count("class", k).alias(f"n_{k}") for k in ("live", "shared", "copied")],
+        *[count("class", k).alias(f"n_{k}") for k in ("live", "reused", "shared", "copied")],
     )
 
 
@@ -97,6 +97,42 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_secret_scan, op5_minhash, op6_mixing, op7_exact_dedup, op8_sharding, op9_packing, op10_chat)}
 
+
+def _found(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """SQL: the matches of a pattern that pass ``keep`` and their places, which follow from what lies between matches."""
+    return f"""
+{kind}_cut AS (SELECT row, text, regexp_extract_all(text, {pattern}) AS hit, string_split_regex(text, {pattern}) AS gap FROM d),
+{kind}_found AS (
+  SELECT row, {rank} AS rank, '{kind}' AS kind, list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start, hit[i] AS hit
+  FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM {kind}_cut)
+  WHERE {keep})"""
+
+
+_NAME = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_BEFORE = _NAME + """[\"'']?\\x20*[:=]\\x20*[\"'']?"""
+_SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source AS owner, [source, lang] AS repo FROM documents),
+{_found("assign", 0, f"'{_BEFORE}[A-Za-z0-9+/_.=-]+'", f"length(regexp_replace(hit[i], '^{_BEFORE}', '')) >= 6")},
+{_found("access", 1, "'AKIA[A-Z0-9]+'", "length(hit[i]) >= 20")},
+{_found("hex", 2, "'[0-9a-f]+'", "length(hit[i]) >= 24")},
+{_found("token", 3, "'[A-Za-z0-9+/_=-]+'", "length(hit[i]) >= 24 AND regexp_matches(hit[i], '[a-z]') AND regexp_matches(hit[i], '[A-Z]') AND regexp_matches(hit[i], '[0-9]') AND list_aggregate(string_split(hit[i], ''), 'entropy') >= 3.5")},
+f AS (
+  SELECT row, rank, kind, start, start + length(hit) AS stop, CASE WHEN rank = 0 THEN regexp_replace(hit, '^{_BEFORE}', '') ELSE hit END AS value
+  FROM (SELECT * FROM assign_found UNION ALL SELECT * FROM access_found UNION ALL SELECT * FROM hex_found UNION ALL SELECT * FROM token_found)),
+held AS (SELECT value, count(DISTINCT repo) AS n_repos, count(DISTINCT [owner]) AS n_owners FROM f JOIN d USING (row) GROUP BY value),
+told AS (
+  SELECT *, concat_ws(':', kind, start, stop) AS span, CASE WHEN n_owners >= 3 THEN 'copied' WHEN n_owners > 1 THEN 'shared' WHEN n_repos > 1 THEN 'reused' ELSE 'live' END AS class
+  FROM f JOIN held USING (value) WHERE rank < 3 OR n_owners = 1)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans,
+       count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'reused') AS n_reused, count(*) FILTER (class = 'shared') AS n_shared, count(*) FILTER (class = 'copied') AS n_copied
+FROM d LEFT JOIN told USING (row) GROUP BY row, doc_id"""
+
+#: The table of slots as a text of three digits each.
+_SHARDS = f"""
+SELECT doc_id, slot, 'shard-' || substr('{"".join(f"{k:03d}" for k in sharding.fill_table(SHARDS))}', 3 * slot + 1, 3) AS shard
+FROM (SELECT doc_id, (('0x' || substr(md5(coalesce('=' || doc_id, '')), 1, 13))::BIGINT % {sharding.TABLE_SIZE})::INTEGER AS slot FROM documents)"""
+
 ORACLE_SQL = {
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
@@ -145,6 +181,8 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM n""",
+    "op4_secret_scan": _SECRETS,
+    "op8_sharding": _SHARDS,
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),

@@ -4,14 +4,21 @@ Texts are scanned once for three kinds of base spans - assignments, access keys
 and hex strings - and for a fourth kind of candidate, ``token``: a run of 24 or
 more characters of the base-64 alphabets with small and capital letters and
 digits and an entropy of 3.5 bits a character or more. Every candidate's value
-is hashed; distinct (hash, repository, owner) triples are counted per hash. A
-value of ``widely`` owners or more is a copied example, a value of one owner
-looks live, anything between is shared. Base spans are all reported; a token is
-reported where it looks live.
-
-A null text counts as empty, a null owner or repository as one of its own.
-Spans are in code points, end exclusive; letters in assignments' names match in
-either case, A-Z only.
+is hashed; distinct (hash, repository, owner) triples are counted per hash, and
+these counts tell its class:
+
+- ``copied``: ``widely`` or more owners, a value that examples spread;
+- ``live``: one owner and one repository, as of a credential in use;
+- ``reused``: one owner, several repositories: still owner-specific;
+- ``shared``: anything between.
+
+Base spans are all reported; a token is reported where it is live or reused.
+
+A null text counts as empty, a null owner or repository as one of its own, not
+that of the empty text; rows that repeat are reported each and count as one
+repository; a null id stays null; an empty table gives an empty one; columns
+other than those named are ignored. Spans are in code points, end exclusive;
+letters in assignments' names match in either case, A-Z only.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fill, for_python, per_process, staged, trimmed, with_totals
@@ -66,7 +73,13 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+def _as_text(name: str | Column) -> Column:
+    """A repository or owner as a text, structs by their JSON with nulls: different values stay different."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+
+
+def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str | Column, owner_col: str | Column) -> DataFrame:
     """One row per document: row, id, repo, owner and found, an array of its candidates with hashed values."""
 
     def search(batches: Iterator) -> Iterator:
@@ -81,25 +94,26 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
             yield pd.DataFrame({"row": range(row, row + len(pdf)), "id": pdf["id"], "repo": pdf["repo"], "owner": pdf["owner"], "found": found})
             row += len(pdf)
 
-    slim = docs.select(F.col(id_col).alias("id"), fill(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
+    slim = docs.select(F.col(id_col).alias("id"), fill(text_col).alias("text"), _as_text(repo_col).alias("repo"), _as_text(owner_col).alias("owner"))
     kind = slim.schema["id"].dataType.simpleString()
     out = for_python(slim).select(F.col("id").cast("string").alias("id"), "text", "repo", "owner").mapInPandas(trimmed(search), "row long, id string, repo string, owner string, found array<struct<kind:int,start:int,end:int,hash:long>>")
     return out.withColumn("id", F.col("id").cast(kind))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """Per hash: n_repos and n_owners that hold it, and n_found, how often it was found."""
-    held = scanned.select("repo", "owner", F.explode("found.hash").alias("hash")).groupBy("hash", F.struct("repo").alias("r"), F.struct("owner").alias("o")).agg(F.count("*").alias("n"))
-    return held.groupBy("hash").agg(F.count_distinct("r").alias("n_repos"), F.count_distinct("o").alias("n_owners"), F.sum("n").alias("n_found"))
+    """Per hash: n_repos (of an owner each) and n_owners that hold it, and n_found, how often it was found. Three sums, each combined before its shuffle."""
+    held = scanned.select("repo", "owner", F.explode("found.hash").alias("hash")).groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    per_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("n_repos"), F.sum("n").alias("n"))
+    return per_owner.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_found"))
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", widely: int = WIDELY) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | Column = "source", owner_col: str | Column = "source", widely: int = WIDELY) -> DataFrame:
     """One row per document: id_col and spans, an array of (start, rank, kind, end, n_repos, n_owners, class) in order."""
     scanned = staged(scan(docs, id_col, text_col, repo_col, owner_col))
     found = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     seen = with_totals(found, ownership(scanned), ["hash"], "n_found", found.count())
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    verdict = F.when(F.col("n_owners") >= widely, "copied").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    verdict = F.when(F.col("n_owners") >= widely, "copied").when(F.col("n_owners") > 1, "shared").when(F.col("n_repos") > 1, "reused").otherwise("live")
     span = F.struct("start", F.col("kind").alias("rank"), kind.alias("kind"), "end", "n_repos", "n_owners", verdict.alias("class"))
     told = seen.where((F.col("kind") < 3) | (F.col("n_owners") == 1)).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.array().cast(told.schema["spans"].dataType)

@@ -6,6 +6,10 @@ shard claims the next slot of its permutation that is still free (a shard of
 weight w has w turns in a round). The full table is broadcast - its size is
 the prime, whatever the data - and a row's shard is one lookup of its hashed
 key. A shard added or removed moves few keys beyond its own share.
+
+Rows that repeat a key share its shard, a null key has a slot of its own, long
+keys are hashed whole, and an empty table stays empty. Columns ``slot`` and
+``shard`` take the names given; columns that have these names are replaced.
 """
 
 from __future__ import annotations
@@ -49,23 +53,25 @@ def fill_table(shards: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[
 
 
 def slot_of(key: str | Column, size: int = TABLE_SIZE) -> Column:
-    """A null key has a slot of its own, other than that of the empty text."""
+    """From the first 52 bits of the key's MD5. A null key has a slot of its own, other than that of the empty text."""
     text = (F.col(key) if isinstance(key, str) else key).cast("string")
-    return F.pmod(F.xxhash64(text, text.isNull()), F.lit(size)).cast("int")
+    digest = F.md5(F.coalesce(F.concat(F.lit("="), text), F.lit("")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"), F.lit(size)).cast("int")
 
 
-def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[int] | None = None) -> DataFrame:
-    """``df`` with columns ``slot`` and ``shard``; it isn't shuffled. Columns of those names are replaced."""
+def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[int] | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """``df`` with the row's slot and shard; it isn't shuffled."""
     import pandas as pd
 
     table = fill_table(shards, size, weights)
-    lookup = df.sparkSession.createDataFrame(pd.DataFrame({"slot": pd.Series(range(size), dtype="int32"), "shard": [shards[k] for k in table]}), "slot int, shard string")
-    rows = df.drop("slot", "shard").withColumn("slot", slot_of(key, size))
-    return rows.join(F.broadcast(lookup), "slot", "left").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    lookup = df.sparkSession.createDataFrame(pd.DataFrame({slot_col: pd.Series(range(size), dtype="int32"), shard_col: [shards[k] for k in table]}), f"`{slot_col}` int, `{shard_col}` string")
+    kept = [f"`{c}`" for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    rows = df.select(*kept, slot_of(key, size).alias(slot_col))
+    return rows.join(F.broadcast(lookup), slot_col, "left").select(*kept, slot_col, shard_col)
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, files_per_shard: int = 1, **options) -> None:
     """Write one folder per shard. Rows go to ``files_per_shard`` tasks per shard by slot, so a large shard isn't one task's work."""
     placed = place(df, key, shards, **options)
-    placed = placed.withColumn("_part", F.pmod("slot", F.lit(files_per_shard))).repartition(len(shards) * files_per_shard, "shard", "_part").drop("_part")
-    placed.write.partitionBy("shard").parquet(path)
+    slot, shard = placed.columns[-2:]
+    placed.repartition(len(shards) * files_per_shard, shard, F.pmod(slot, F.lit(files_per_shard))).write.partitionBy(shard).parquet(path)

@@ -12,7 +12,12 @@ loss, so weight can't settle on who is mentioned and neutral mentions of a
 group stay low. The intercept is then set so that the mean score over the
 sample, weighted to the labels' ratio in the whole table, is that ratio.
 
-Scores read the text alone. Empty and null texts score as the intercept does.
+Scores read the text alone, whole whatever its length. Empty and null texts
+score as the intercept does. Of labels that repeat an id the largest counts, of
+documents that repeat one the smallest text is learnt from, so the sample is
+bounded; every row is scored, also those without id. An empty table of labels
+gives even odds, an empty table of documents no scores. Columns other than
+those named are ignored.
 """
 
 from __future__ import annotations
@@ -199,6 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     rows = learning_rows(labels, id_col, label_col, allowed, most)
     counts = labels.where(allowed & F.col(label_col).isin(0, 1)).agg(F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) == 0).alias("neg")).first()
     texts = for_python(docs).select(F.col(id_col).alias("id"), fill(text_col).alias("text")).join(F.broadcast(rows), "id")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     found = gather(texts.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "text", "label"), sets).collect()
     found.sort(key=lambda r: r["id"])
     return fit(found, (counts["pos"] + 0.5) / (counts["neg"] + 0.5), **options)

@@ -2,12 +2,11 @@ import hashlib
 import random
 from collections import defaultdict
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from snapweave.llm import chat as X
-from snapweave.llm.queries import ORACLE_SQL, op10_chat
+from snapweave.llm.queries import op10_chat
 
 DATA = "/root/testdata/sf0.001"
 NAMES = "conv_id long, turn long, role string, text string"
@@ -104,15 +103,8 @@ def test_the_query_by_brute_force(spark, columns):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_the_query_by_its_sql(spark, tmp_path):
+def test_the_query_by_its_sql(spark, agree, tmp_path):
     rng = random.Random(5)
     rows = [(c, k, "system" if k == 0 and c % 3 else rng.choice(["user", "assistant", None]), rng.choice(["w ", "<é[", "x\\ "]) * rng.choice([0, 5, 60, 190, 250, 505, 515, 1000])) for c in range(120) for k in range(rng.randrange(1, 9))]
     spark.createDataFrame(rows, NAMES).write.parquet(f"{tmp_path}/conversations.parquet")
-    db = duckdb.connect()
-    for folder in (DATA, tmp_path):
-        db.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet{'/part*' if folder is tmp_path else ''}')")
-        want = db.execute(ORACLE_SQL["op10_chat"])
-        names = [d[0] for d in want.description]
-        got = op10_chat(spark, str(folder))
-        assert sorted(got.columns) == sorted(names)
-        assert sorted(tuple(r) for r in got.select(names).collect()) == sorted(want.fetchall())
+    agree("op10_chat", tmp_path)

@@ -56,6 +56,18 @@ def test_placement_is_a_lookup(docs, odd, none):
 
 
 def test_shards_are_written_to_folders(spark, docs, tmp_path):
-    X.write_shards(docs.select("doc_id", "text"), "doc_id", ["a", "b"], str(tmp_path / "out"), files_per_shard=2)
+    X.write_shards(docs.selectExpr("doc_id", "text", "1 as _part", "2 as Slot"), "doc_id", ["a", "b"], str(tmp_path / "out"), files_per_shard=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and {r[0] for r in back.select("shard").distinct().collect()} == {"a", "b"}
+    assert "_part" in back.columns
+
+
+def test_names_of_the_new_columns(docs):
+    out = X.place(docs.selectExpr("doc_id", "1 as slot", "2 as shard"), "doc_id", NAMES, slot_col="at", shard_col="to")
+    assert out.columns == ["doc_id", "slot", "shard", "at", "to"] and {r[0] for r in out.select("slot").distinct().collect()} == {1}
+
+
+def test_the_query_by_its_sql(spark, odd, agree, tmp_path):
+    odd.select("doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    agree("op8_sharding", tmp_path)
+    agree("op8_sharding", "/root/testdata/sf0.001")

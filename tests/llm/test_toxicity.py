@@ -1,10 +1,12 @@
+import re
 from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snapweave.llm import toxicity as X
-from snapweave.llm.queries import op1_toxicity
+from snapweave.llm.queries import held_out, op1_toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -56,10 +58,36 @@ def test_scores_of_spark_and_of_the_model_agree(spark, odd, none):
     assert none.select(X.score_of(m, "text")).count() == 0
 
 
+def test_scores_from_words_alone(spark, odd):
+    """The score by its definition, nothing of the library used but the weights."""
+    m = X.fit(rows_of(BIASED), 0.5)
+    got = {r["text"]: r["s"] for r in odd.union(odd.limit(1).withColumn("text", F.lit("Muslims and CHRISTIANS_are vile, vile!"))).select("text", X.score_of(m, "text").alias("s")).collect()}
+    for text, score in got.items():
+        words = set(re.findall(r"[^\W_]+", (text or "").lower()))
+        seen = words | {f"{w[:4]}*" for w in words if len(w) > 4} | {f"{w[:6]}*" for w in words if len(w) > 6}
+        total = m.intercept + sum(m.weights.get(n, 0.0) for n in {crc32(f.encode()) for f in seen})
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-12)
+    assert len(set(got.values())) > 1
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.range(5000).selectExpr("id % 2 as doc_id", "concat('text ', if(id < 2, 'a', 'b')) as text", "1 as label", "2 as seen")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 1)], "doc_id long, toxic int")
+    seen = []
+    fit, X.fit = X.fit, lambda rows, odds: (seen.append(rows), fit(rows, odds))[1]
+    try:
+        X.learn(docs, labels, F.lit(True))
+    finally:
+        X.fit = fit
+    assert [r["label"] for r in seen[0]] == [0, 1] and all(np.frombuffer(r["seen"], np.uint32).tolist() == sorted(crc32(w) for w in (b"text", b"a")) for r in seen[0])
+
+
+def test_no_row_is_neither_held_out_nor_not(spark):
+    assert [r[0] for r in spark.createDataFrame([(None,), (5,)], "doc_id long").select(held_out()).collect()] == [False, crc32(b"5") % 4 == 2]
+
+
 def test_learning_reads_each_label_once_and_bounds_the_sample(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(1, 1), (200, None), (201, 7)], "doc_id long, toxic int")
-    from pyspark.sql import functions as F
-
     got = X.learning_rows(labels, "doc_id", "toxic", F.lit(True), 10).collect()
     assert len(got) == 20 and sum(r["label"] for r in got) == 10 and len({r["id"] for r in got}) == 20
 
