@@ -20,10 +20,8 @@ EVENTS = "v_old string, mid_old string, v_new string, mid_new string, via_geneti
 
 def owners(samples: DataFrame) -> DataFrame:
     """(genetic_id, version, version_rank, mid): each row key's entity, of rows that repeat the key the last one's."""
-    keyed = samples.where("genetic_id <> ''").repartition("genetic_id")
-    return keyed.groupBy("genetic_id", "version_rank").agg(
-        F.first("version").alias("version"), F.max_by(F.coalesce("individual_id", F.lit("<NA>")), "row_idx").alias("mid")
-    )
+    keyed = samples.where("genetic_id <> ''").groupBy("genetic_id", "version_rank")
+    return keyed.agg(F.first("version").alias("version"), F.max_by(F.coalesce("individual_id", F.lit("<NA>")), "row_idx").alias("mid"))
 
 
 def rename_events(samples: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ version label, so nothing here tells them apart by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CHANGE_CLASSES, change_class
@@ -66,24 +66,32 @@ def class_histogram(changes: DataFrame, column: str = "change_class") -> DataFra
     return classes.join(counted, "change_class", "left").select("ord", "change_class", F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
+def _details(*columns: Column) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def report(pairs: DataFrame, renames: DataFrame) -> DataFrame:
-    """All events as (ord, seq, event_class, individual_id, details JSON), to be sorted by ord, seq and individual_id."""
-
-    def rows(df: DataFrame, name, details, seq=None) -> DataFrame:
-        return df.select(name.alias("event_class"), F.col("canonical").alias("individual_id"), (F.col("canonical") if seq is None else seq).alias("seq"), F.to_json(F.struct(*details), {"ignoreNullFields": "false"}).alias("details"))
-
-    changes = group_changed(pairs)
-    parts = [
-        rows(added(pairs), F.lit("added"), ["first_seen_genetic_id"]),
-        rows(removed(pairs), F.lit("removed"), ["last_seen_genetic_id"]),
-        rows(gid_renamed(pairs), F.lit("genetic_id_renamed"), ["v_old_gids", "v_new_gids"]),
-        rows(renames, F.lit("master_id_renamed"), [F.col("mid_old").alias("v_old_mid"), F.col("mid_new").alias("v_new_mid"), "via_genetic_id"], F.coalesce("via_genetic_id", F.lit("￿"))),
-        rows(changes, F.concat(F.lit("group_changed:"), F.col("change_class")), ["group_v_old", "group_v_new"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("ord", F.array_position(F.array(*map(F.lit, ORDER)), F.col("event_class")))
+    """All events as (ord, seq, event_class, individual_id, details JSON), to be sorted by ord, seq and individual_id.
+
+    An individual's events come from its one row of ``pairs``, which is computed once.
+    """
+    old, new = F.col("o"), F.col("n")
+    both = old.isNotNull() & new.isNotNull()
+    moved = both & (F.size(old["gids"]) > 0) & (F.size(new["gids"]) > 0) & ~F.arrays_overlap(old["gids"], new["gids"])
+    relabelled = both & (old["group"] != "") & (new["group"] != "") & (old["group"] != new["group"])
+    event = lambda when, name, *details: F.when(when, F.struct(name.alias("event_class"), _details(*details).alias("details")))
+    events = F.array_compact(
+        F.array(
+            event(old.isNull(), F.lit("added"), new["first_gid"].alias("first_seen_genetic_id")),
+            event(new.isNull(), F.lit("removed"), old["first_gid"].alias("last_seen_genetic_id")),
+            event(moved, F.lit("genetic_id_renamed"), old["gids"].alias("v_old_gids"), new["gids"].alias("v_new_gids")),
+            event(relabelled, F.concat(F.lit("group_changed:"), change_class(old["group"], new["group"])), old["group"].alias("group_v_old"), new["group"].alias("group_v_new")),
+        )
+    )
+    own = pairs.select(F.col("canonical").alias("individual_id"), F.col("canonical").alias("seq"), F.inline(events))
+    told = _details(F.col("mid_old").alias("v_old_mid"), F.col("mid_new").alias("v_new_mid"), F.col("via_genetic_id"))
+    other = renames.select(F.col("canonical").alias("individual_id"), F.coalesce("via_genetic_id", F.lit("￿")).alias("seq"), F.lit("master_id_renamed").alias("event_class"), told.alias("details"))
+    return own.unionByName(other).withColumn("ord", F.array_position(F.array(*map(F.lit, ORDER)), F.col("event_class")))
 
 
 def rates(pairs: DataFrame) -> DataFrame:

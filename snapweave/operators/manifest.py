@@ -35,12 +35,6 @@ def labelled(cohort: DataFrame, bridge: DataFrame, cohort_version: str, known: b
     return rows.groupBy("canonical").agg(F.max_by(F.coalesce("cohort_label", "canonical"), "pos").alias("cohort_label"))
 
 
-def key_facts(samples: DataFrame) -> DataFrame:
-    """(version, gid, group_id, snps, pgid) of the first row with a key, whoever it belongs to."""
-    facts = F.struct("group_id", F.col("snps_hit_1240k").alias("snps"), F.col("persistent_genetic_id").alias("pgid"))
-    return samples.where("genetic_id <> ''").groupBy("version", F.col("genetic_id").alias("gid")).agg(F.min_by(facts, "row_idx").alias("f")).select("version", "gid", "f.*")
-
-
 def change_between(old: Column, new: Column) -> Column:
     """NULL where either is missing, 'none' where equal, else the class of the change."""
     return F.when(old.isNull() | new.isNull(), None).when(old == new, "none").otherwise(change_class(old, new))
@@ -74,17 +68,23 @@ def manifest(labels: DataFrame, samples: DataFrame, tokens: DataFrame, versions:
     Columns: cohort_label, cohort_label_source, individual_id_canonical,
     library_token; per release _genetic_id, _group_id and _snps_hit_1240k; per
     neighbouring pair group_id_change_class_; persistent_genetic_id; status.
-    Only libraries of the cohort are pivoted; keys' facts are looked up for those.
+    Only libraries of the cohort are pivoted; keys' facts are looked up for those. ``versions`` are in order.
     """
     wanted = tokens.join(labels.select("canonical"), "canonical", "left_semi")
     if collapse:
         wanted = collapsed(wanted, preference).withColumn("token", F.col("canonical")).withColumn("chain_status", F.lit("chained"))
-    facts = wanted.join(key_facts(samples), ["version", "gid"], "left")
-    at = lambda column, v: F.max(F.when(F.col("version") == v, F.col(column)))
+    facts = F.struct("group_id", F.col("snps_hit_1240k").alias("snps"), F.col("persistent_genetic_id").alias("pgid"))
+    rows = samples.where("genetic_id <> ''").select(F.col("version").alias("_v"), F.col("genetic_id").alias("_g"), "row_idx", facts.alias("f"))
+    # A library has one key per release; of the rows with that key, whoever they belong to, the first tells its facts.
+    held = wanted.join(rows, (F.col("version") == F.col("_v")) & (F.col("gid") == F.col("_g")), "left")
     cells = []
-    for v in versions:
-        cells += [at("gid", v).alias(f"{prefix(v)}_genetic_id"), at("group_id", v).alias(f"{prefix(v)}_group_id"), at("snps", v).alias(f"{prefix(v)}_snps_hit_1240k")]
-    wide = facts.groupBy("canonical", "token").agg(*cells, F.max_by("pgid", F.when(F.col("pgid").isNotNull(), F.col("version_rank"))).alias("persistent_genetic_id"), F.first("chain_status").alias("chain_status"))
+    for k, v in enumerate(versions):
+        here = F.col("version") == v
+        cells += [F.max(F.when(here, F.col("gid"))).alias(f"g{k}"), F.min_by("f", F.when(here, F.col("row_idx"))).alias(f"f{k}")]
+    wide = held.groupBy("canonical", "token").agg(*cells, F.first("chain_status").alias("chain_status"))
+    latest = F.coalesce(*[F.col(f"f{k}.pgid") for k in reversed(range(len(versions)))])
+    per = [c for k, v in enumerate(versions) for c in (F.col(f"g{k}").alias(f"{prefix(v)}_genetic_id"), F.col(f"f{k}.group_id").alias(f"{prefix(v)}_group_id"), F.col(f"f{k}.snps").alias(f"{prefix(v)}_snps_hit_1240k"))]
+    wide = wide.select("canonical", "token", "chain_status", *per, latest.alias("persistent_genetic_id"))
     rows = labels.join(wide, "canonical", "left")
     changes = [change_between(F.col(f"{prefix(a)}_group_id"), F.col(f"{prefix(b)}_group_id")).alias(f"group_id_change_class_{prefix(a)}_to_{prefix(b)}") for a, b in zip(versions, versions[1:], strict=False)]
     present = [F.col(f"{prefix(v)}_genetic_id").isNotNull() for v in versions]

@@ -18,6 +18,7 @@ from ..operators import gates as G
 from ..operators import libraries as L
 from ..operators import lookup as K
 from ..operators import manifest as M
+from ..runtime import written
 
 VERSIONS = ["v1.0", "v2.0", "v3.0"]
 V1, V2, V3 = VERSIONS
@@ -186,7 +187,7 @@ class Ready:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation")}
-        self.raw = self.sql("SELECT * FROM samples")
+        self.raw = written(self.sql("SELECT * FROM samples"))
 
     def sql(self, query: str, *parts: str) -> DataFrame:
         text = "WITH " + ",".join((RELEASES, *parts)) + "\n" + query
@@ -208,7 +209,7 @@ class Ready:
         return self.sql("SELECT * FROM cohort", _COHORT)
 
     def manifest(self, collapse: bool = False) -> DataFrame:
-        labels = M.labelled(self.cohort(), self.bridge, V1)
+        labels = written(M.labelled(self.cohort(), self.bridge, V1))
         own = self.samples.join(labels.select("canonical"), "canonical", "left_semi")
         return M.manifest(labels, self.samples, L.library_tokens(own), VERSIONS, collapse)
 
