@@ -13,9 +13,13 @@ from .functions.labels import CHANGE_CLASSES
 from .operators.libraries import PREFERENCE
 
 
+class BadArguments(UsageError):
+    """What the parser of the command line refuses."""
+
+
 class Parser(argparse.ArgumentParser):
     def error(self, message: str):
-        raise UsageError(f"{self.prog}: {message}")
+        raise BadArguments(message)
 
 
 def parser() -> Parser:
@@ -92,7 +96,7 @@ def check_paths(spark, paths: list[str]) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            raise UsageError(f"there is no file {p}")
+            raise BadArguments(f"there is no file {p}")
 
 
 def run(args: argparse.Namespace) -> None:
@@ -125,23 +129,28 @@ def run(args: argparse.Namespace) -> None:
             sys.stdout.write(json.dumps(items, indent=2) + "\n")
         for x in [] if args.json else items:
             if x["status"] == "lifted":
-                opts.warn(f"group ID '{x['group_id']}' not found in panel; suggested lift: '{x['lifted_to']}', found in: {', '.join(x['found_in'])}")
+                opts.warn(R.LIFTED.format(group_id=x["group_id"], lifted_to=x["lifted_to"], found_in=", ".join(x["found_in"])))
             elif x["status"] == "unresolvable":
-                opts.warn(f"group ID '{x['group_id']}' not found in any supplied panel and no known lift exists")
+                opts.warn(R.UNKNOWN.format(group_id=x["group_id"]))
         if lost := [x["group_id"] for x in items if x["status"] == "unresolvable"]:
-            raise ValidationFailure(f"{len(lost)} group ID(s) unresolvable: " + ", ".join(f"'{g}'" for g in lost))
+            raise ValidationFailure(R.UNRESOLVABLE.format(n=len(lost), ids=", ".join(f"'{g}'" for g in lost)))
 
 
 def main(argv: list[str] | None = None) -> int:
+    from .plans.render import ERROR, USAGE
+
     try:
         run(parser().parse_args(argv))
+    except BadArguments as e:
+        sys.stderr.write(USAGE.format(text=e) + "\n")
+        return e.exit_code
     except SnapweaveError as e:
-        sys.stderr.write(f"ERROR: {e}\n")
+        sys.stderr.write(ERROR.format(text=e) + "\n")
         return e.exit_code
     except KeyboardInterrupt:
         return 4
     except OSError as e:
-        sys.stderr.write(f"ERROR: {e}\n")
+        sys.stderr.write(ERROR.format(text=e) + "\n")
         return 2
     except Exception:
         traceback.print_exc()

@@ -111,3 +111,10 @@ def same_component(events: DataFrame, bridge: DataFrame) -> DataFrame:
     """Events with the canonical ids of both ends, where they agree."""
     left = with_canonical(events, bridge, "v_old", "mid_old").withColumnRenamed("canonical", "canonical_old")
     return with_canonical(left, bridge, "v_new", "mid_new").withColumnRenamed("canonical", "canonical_new").where("canonical_old = canonical_new")
+
+
+def events_for(events: DataFrame, bridge: DataFrame, ids: DataFrame) -> DataFrame:
+    """(version, mid) -> with every event whose both ends are the same individual as that id: one row per id and event."""
+    asked = with_canonical(ids, bridge, "version", "mid").select("version", "mid", "canonical")
+    own = same_component(events, bridge).withColumnRenamed("canonical_old", "canonical").drop("canonical_new")
+    return asked.join(own, "canonical").drop("canonical")

@@ -38,6 +38,27 @@ def flags(n_present: int, n_versions: int, matched_via: str, multi_row: bool, re
     return out
 
 
+def found(samples: DataFrame, events: DataFrame, bridge: DataFrame, query: str, n_versions: int) -> DataFrame:
+    """At most one row: canonical, matched_via, n_rows and status_flags."""
+    hit = resolve(samples, query)
+    per = rows_of(samples, hit).groupBy("version").agg(F.count("*").alias("n"))
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    parts = hit.select("canonical", "matched_via", none.alias("n"), F.lit(False).alias("renamed"))
+    parts = parts.union(per.select(text, text, "n", F.lit(False))).union(renames_of(events, bridge, hit).select(text, text, none, F.lit(True)))
+    one = parts.agg(
+        F.max("canonical").alias("canonical"), F.max("matched_via").alias("matched_via"), F.count("n").alias("n_present"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.max("n") > 1, F.lit(False)).alias("several"), F.max("renamed").alias("renamed"),
+    ).where("canonical is not null")
+    some = lambda when, name: F.when(when, F.lit(name))
+    told = F.array(
+        F.concat(F.lit("present_in_"), F.col("n_present").cast("string"), F.lit(f"_of_{n_versions}_versions")),
+        some(F.col("matched_via") == "genetic_id", "matched_via_genetic_id"),
+        some(F.col("several"), "multi_row"),
+        some(F.col("renamed"), "individual_id_renamed"),
+    )
+    return one.select("canonical", "matched_via", "n_rows", F.array_compact(told).alias("status_flags"))
+
+
 def translate_individuals(ids: DataFrame, bridge: DataFrame, src: str, target: DataFrame) -> DataFrame:
     """(individual_id) -> with genetic_id: the smallest row key of the same individual in ``target``, NULL if none."""
     asked = with_canonical(ids.select("individual_id").distinct().withColumn("_v", F.lit(src)), bridge, "_v")

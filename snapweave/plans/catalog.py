@@ -18,7 +18,9 @@ from ..operators import gates as G
 from ..operators import libraries as L
 from ..operators import lookup as K
 from ..operators import manifest as M
+from ..operators import summaries as S
 from ..runtime import written
+from . import filed
 
 VERSIONS = ["v1.0", "v2.0", "v3.0"]
 V1, V2, V3 = VERSIONS
@@ -521,3 +523,85 @@ def header_normalize(spark, sf_dir):
     mark = F.expr("case p_partkey % 4 when 0 then ' (' when 1 then '; ' when 2 then ' [' else ': ' end")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit("-"), "p_brand", mark, "p_type").alias("header"))
     return rows.select("p_partkey", T.normalized_header(F.col("header")).alias("header"))
+
+
+_N_OF = f"""
+has AS (SELECT individual_id_canonical, count(*) AS n_rows, bool_or({M.prefix(V1)}_genetic_id IS NOT NULL) AS f, bool_or({M.prefix(V3)}_genetic_id IS NOT NULL) AS l FROM manifest GROUP BY 1)"""
+
+
+@query(_with(*_MANIFEST, _N_OF, then="""
+SELECT count(*) AS n_individuals, sum(n_rows)::BIGINT AS n_libraries, count(*) FILTER (l) AS n_resolved_in_latest, count(*) FILTER (l AND NOT f) AS n_added_after_earliest, count(*) FILTER (f AND NOT l) AS n_removed_before_latest FROM has"""))
+def cohort_summary(spark, sf_dir):
+    return S.cohort_counts(_ready(spark, sf_dir).manifest(), VERSIONS)
+
+
+_EACH = " UNION ALL ".join(f"SELECT group_id_change_class_{M.prefix(a)}_to_{M.prefix(b)} AS change_class FROM manifest" for a, b in zip(VERSIONS, VERSIONS[1:], strict=False))
+
+
+@query(_with(*_MANIFEST, _CLASSES, then=f"SELECT ord, c.change_class, count(x.change_class) AS n_events FROM classes c LEFT JOIN ({_EACH}) x ON c.change_class = x.change_class GROUP BY ord, c.change_class"))
+def cohort_changes(spark, sf_dir):
+    return S.cohort_changes(_ready(spark, sf_dir).manifest(), VERSIONS)
+
+
+@query(_with(*_MANIFEST, then=f"SELECT state, removal_rate FROM ({_turnover_sql()}) ORDER BY CASE state WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, seq LIMIT 1"))
+def worst_turnover(spark, sf_dir):
+    return S.worst_pair(G.cohort_turnover(_ready(spark, sf_dir).manifest(), VERSIONS))
+
+
+@query(_with(*_MANIFEST, then="SELECT cohort_label_source AS value, count(*) AS n_rows FROM manifest GROUP BY 1"))
+def label_sources(spark, sf_dir):
+    return S.histogram(_ready(spark, sf_dir).manifest(), "cohort_label_source")
+
+
+@query(_with(_EVENTS, _BRIDGE, _DIFF, then="SELECT (SELECT count(*) FROM n ANTI JOIN o USING (canonical)) AS n_added, (SELECT count(*) FROM o ANTI JOIN n USING (canonical)) AS n_removed, (SELECT count(*) FROM o JOIN n USING (canonical) WHERE len(o.gids) > 0 AND len(n.gids) > 0 AND NOT list_has_any(o.gids, n.gids)) AS n_gid_renamed, (SELECT count(*) FROM events WHERE v_old = 'v1.0' AND v_new = 'v2.0') AS n_mid_renamed, "
+    + ", ".join(f"(SELECT count(*) FROM changes WHERE change_class = '{c}') AS group_changed_{c}" for c in T.CHANGE_CLASSES)))
+def diff_summary(spark, sf_dir):
+    r = _ready(spark, sf_dir)
+    return S.diff_counts(r.pairs(), D.mid_renamed(r.events, r.bridge, V1, V2))
+
+
+@query(_with(_EVENTS, _BRIDGE, then="""
+SELECT a.version, a.mid, e.v_old, e.mid_old, e.v_new, e.mid_new, e.via_genetic_id
+FROM bridge a JOIN (SELECT e.*, o.canonical FROM events e JOIN bridge o ON o.version = e.v_old AND o.mid = e.mid_old JOIN bridge n ON n.version = e.v_new AND n.mid = e.mid_new WHERE o.canonical = n.canonical) e ON a.canonical = e.canonical"""))
+def events_of_ids(spark, sf_dir):
+    r = _ready(spark, sf_dir)
+    return B.events_for(r.events, r.bridge, r.bridge.select("version", "mid"))
+
+
+_UNCHANGED = """
+seen AS (SELECT DISTINCT version, version_rank, individual_id AS mid FROM samples WHERE individual_id <> ''),
+edges_ AS (SELECT v_old, mid_old, v_new, mid_new FROM events UNION SELECT a.version, a.mid, b.version, b.mid FROM seen a JOIN seen b ON a.mid = b.mid AND a.version_rank + 1 = b.version_rank),
+both_ AS (SELECT v_old || '|' || mid_old AS a, v_new || '|' || mid_new AS b FROM edges_ UNION SELECT v_new || '|' || mid_new, v_old || '|' || mid_old FROM edges_),
+reach_(a, b) AS (SELECT a, a FROM both_ UNION SELECT r.a, e.b FROM reach_ r JOIN both_ e ON r.b = e.a)"""
+
+
+@query(_with(_EVENTS, _UNCHANGED, then="SELECT split_part(a, '|', 1) AS version, split_part(a, '|', 2) AS mid, split_part(max(b), '|', 2) AS canonical FROM reach_ GROUP BY a"))
+def canonical_unchanged(spark, sf_dir):
+    """Canonical ids that also chain over ids that stay the same."""
+    raw = Ready(spark, sf_dir).raw
+    return B.canonical_ids(B.rename_events(raw).unionByName(B.linked_unchanged(raw)), VERSIONS)
+
+
+def _flags_sql(q: str) -> str:
+    return f"""
+SELECT h.canonical, h.matched_via, (SELECT count(*) FROM canon c WHERE c.canonical = h.canonical) AS n_rows,
+       'present_in_' || (SELECT count(DISTINCT version) FROM canon c WHERE c.canonical = h.canonical) || '_of_3_versions' || CASE WHEN matched_via = 'genetic_id' THEN ',matched_via_genetic_id' ELSE '' END
+       || CASE WHEN EXISTS (SELECT 1 FROM canon c WHERE c.canonical = h.canonical GROUP BY version HAVING count(*) > 1) THEN ',multi_row' ELSE '' END
+       || CASE WHEN EXISTS (SELECT 1 FROM events e LEFT JOIN bridge b ON b.version = e.v_old AND b.mid = e.mid_old WHERE coalesce(b.canonical, e.mid_old) = h.canonical) THEN ',individual_id_renamed' ELSE '' END AS status_flags
+FROM hit h"""
+
+
+@query(_with(_EVENTS, _BRIDGE, _resolved("'S61.AG'"), then=_flags_sql("'S61.AG'")))
+def lookup_flags(spark, sf_dir):
+    r = _ready(spark, sf_dir)
+    return K.found(r.samples, r.events, r.bridge, "S61.AG", len(VERSIONS)).withColumn("status_flags", _joined("status_flags"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE p_size END AS number FROM part")
+def strict_long(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select("p_partkey", N.strict_long(F.expr("CASE p_partkey % 3 WHEN 0 THEN '' ELSE CAST(p_size AS STRING) END")).cast("int").alias("number"))
+
+
+QUERIES |= filed.QUERIES
+ORACLE_SQL |= filed.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import time
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -20,13 +20,12 @@ from ..operators import gates as G
 from ..operators import libraries as L
 from ..operators import lookup as K
 from ..operators import manifest as M
+from ..operators import summaries as S
+from ..runtime import written
 from ..sources.releases import Release, cohort_frame, ensure_unique_labels, read_cohort, read_release
 from . import render as R
 from .session import Bridged, bridged
 
-BIG_JSON = 100_000_000
-
-
 @dataclass
 class Options:
     """What all commands share."""
@@ -40,7 +39,7 @@ class Options:
 
     def warn(self, text: str) -> None:
         self.notes.append(text)
-        sys.stderr.write(f"WARNING: {text}\n")
+        sys.stderr.write(R.WARNING.format(text=text) + "\n")
 
 
 def load(spark: SparkSession, paths: Sequence[str], opts: Options) -> list[Release]:
@@ -51,7 +50,7 @@ def prepare(spark: SparkSession, releases: list[Release], opts: Options) -> Brid
     ready = bridged(spark, releases, opts.on_collision, opts.manual_bridge)
     for note in ready.warnings:
         opts.warn(note)
-    ready.samples = ready.samples.cache()
+    ready.samples = written(ready.samples)
     return ready
 
 
@@ -95,10 +94,10 @@ def cohort(
     ensure_unique_labels(ready.releases)
     labels = M.labelled(asked, ready.bridge, cohort_version, known=cohort_version in ready.versions)
     own = ready.samples.join(labels.select("canonical"), "canonical", "left_semi")
-    tokens = L.library_tokens(own).cache()
-    rows = M.manifest(labels, ready.samples, tokens, ready.versions, collapse, preference).cache()
-    if collapse and (lost := L.dropped_tokens(tokens, L.collapsed(tokens, preference)).count()):
-        opts.warn(f"{lost} libraries aren't shown: others of their individuals are preferred")
+    tokens = written(L.library_tokens(own))
+    rows = written(M.manifest(labels, ready.samples, tokens, ready.versions, collapse, preference))
+    if collapse:
+        _warn_dropped(tokens, preference, opts)
     n_rows, n_cols = _write_manifest(rows, ready.versions, out, as_json)
 
     failed: list[str] = []
@@ -110,20 +109,14 @@ def cohort(
         elif state == "fail":
             failed.append(text)
 
-    severity = {"pass": 0, "warn": 1, "fail": 2}
+    severity = {"pass": 0, "warn": 1, "fail": 2}  # a few pairs, already here
     worst = max(pairs, key=lambda r: severity[r["state"]], default=None)
-    first, last = (F.col(f"{M.prefix(v)}_genetic_id").isNotNull() for v in (ready.versions[0], ready.versions[-1]))
-    seen = rows.groupBy("individual_id_canonical").agg(F.max(first).alias("first"), F.max(last).alias("last"))
-    n = seen.agg(F.count("*").alias("individuals"), F.count_if("last").alias("latest"), F.count_if(F.col("last") & ~F.col("first")).alias("added"), F.count_if(F.col("first") & ~F.col("last")).alias("removed")).first()
-    changes: Counter[str] = Counter()
-    for a, b in zip(ready.versions, ready.versions[1:], strict=False):
-        for r in rows.groupBy(F.col(f"group_id_change_class_{M.prefix(a)}_to_{M.prefix(b)}").alias("c")).count().where("c is not null and c <> 'none'").collect():
-            changes[r["c"]] += r["count"]
-    by_class = {c: changes.get(c, 0) for c in CHANGE_CLASSES}
+    n = S.cohort_counts(rows, ready.versions).first()
+    by_class = {r["change_class"]: r["n_events"] for r in S.cohort_changes(rows, ready.versions).orderBy("ord").collect()}
     if report_json:
-        count_by = lambda c: {r[0]: r[1] for r in rows.groupBy(c).count().orderBy(c).collect()}
+        count_by = lambda c: {r["value"]: r["n_rows"] for r in S.histogram(rows, c).orderBy("value").collect()}
         block = {
-            "n_individuals": n["individuals"], "n_libraries": n_rows, "n_resolved_in_latest": n["latest"], "n_added_after_earliest": n["added"], "n_removed_before_latest": n["removed"],
+            "n_individuals": n["n_individuals"], "n_libraries": n_rows, "n_resolved_in_latest": n["n_resolved_in_latest"], "n_added_after_earliest": n["n_added_after_earliest"], "n_removed_before_latest": n["n_removed_before_latest"],
             "label_source_histogram": count_by("cohort_label_source"), "status_histogram": count_by("status"), "group_change_by_class": by_class,
         }
         states = {"turnover": worst["state"] if worst else "n/a", "turnover_rate": worst["removal_rate"] if worst else 0.0, "cohort_coverage": covered["state"], "cohort_coverage_rate": covered["coverage"]}
@@ -132,14 +125,14 @@ def cohort(
             "gid_preference": list(preference), "output_format": "json" if as_json else "tsv",
         }
         sidecar(report_json, ready, "cohort", block, states, config, opts, began)
-    written = [R.WROTE_ROWS.format(name=Path(out).name, rows=n_rows, cols=n_cols)]
-    written += [R.COHORT_TURNOVER.format(rate=R.percent(worst["removal_rate"]), state=worst["state"].upper())] if worst else []
+    closing = [R.WROTE_ROWS.format(name=Path(out).name, rows=n_rows, cols=n_cols)]
+    closing += [R.COHORT_TURNOVER.format(rate=R.percent(worst["removal_rate"]), state=worst["state"].upper())] if worst else []
     text = R.blocks(
         R.files_block(ready.releases),
         R.bridge_block(ready.events.count(), ready.manual_count),
-        [line.format(name=Path(cohort_path).name, n=len(wanted), latest=n["latest"], added=n["added"], removed=n["removed"]) for line in R.COHORT],
+        [line.format(name=Path(cohort_path).name, n=len(wanted), latest=n["n_resolved_in_latest"], added=n["n_added_after_earliest"], removed=n["n_removed_before_latest"]) for line in R.COHORT],
         R.class_block(by_class, ready.versions),
-        written,
+        closing,
         [R.DONE.format(seconds=time.perf_counter() - began)],
     )
     if not opts.quiet:
@@ -148,6 +141,13 @@ def cohort(
     return text
 
 
+def _warn_dropped(tokens, preference: Sequence[str], opts: Options) -> None:
+    """A warning per individual whose other libraries are preferred in every release."""
+    lost = L.dropped_tokens(tokens, L.collapsed(tokens, preference)).groupBy("canonical").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    for r in lost.orderBy("canonical").toLocalIterator():
+        opts.warn(R.DROPPED.format(canonical=r["canonical"], n=len(r["tokens"]), tokens=list(r["tokens"])))
+
+
 def _write_manifest(rows, versions: list[str], out: str, as_json: bool) -> tuple[int, int]:
     ordered = M.ordered(rows)
     if as_json:
@@ -161,8 +161,14 @@ def join(spark: SparkSession, old: str, new: str, out: str, opts: Options, as_js
     ready = prepare(spark, load(spark, [old, new], opts), opts)
     ensure_unique_labels(ready.releases)
     labels = M.union_of_individuals(ready.samples, ready.bridge, ready.versions[-1])
-    rows = M.manifest(labels, ready.samples, L.library_tokens(ready.samples), ready.versions, collapse, preference).cache()
-    return _write_manifest(rows, ready.versions, out, as_json)[0]
+    tokens = written(L.library_tokens(ready.samples))
+    rows = written(M.manifest(labels, ready.samples, tokens, ready.versions, collapse, preference))
+    n_rows = _write_manifest(rows, ready.versions, out, as_json)[0]
+    if not opts.quiet:
+        sys.stdout.write(R.JOINED.format(rows=n_rows, individuals=S.cohort_counts(rows, ready.versions).first()["n_individuals"], path=out) + "\n")
+    if collapse:
+        _warn_dropped(tokens, preference, opts)
+    return n_rows
 
 
 def diff(
@@ -176,19 +182,22 @@ def diff(
     a, b = load(spark, [old, new], opts)
     ready = prepare(spark, [a, b], opts)
     # Sides are told apart by place, as labels may be equal.
-    pairs = D.paired(ready.samples.where("supply_pos = 0"), ready.samples.where("supply_pos = 1")).cache()
-    renames = D.mid_renamed(ready.events, ready.bridge, a.label, b.label).cache()
-    changes = D.group_changed(pairs).cache()
-    n = D.rates(pairs).first().asDict()
-    n |= {"n_gid_renamed": D.gid_renamed(pairs).count(), "n_mid_renamed": renames.count(), "by_class": {r["change_class"]: r["n_events"] for r in D.class_histogram(changes).orderBy("ord").collect()}}
+    pairs = D.paired(ready.samples.where("supply_pos = 0"), ready.samples.where("supply_pos = 1"))
+    pairs = written(pairs)
+    renames = D.mid_renamed(ready.events, ready.bridge, a.label, b.label)
+    renames = written(renames)
+    changes = D.group_changed(pairs)
+    counts = S.diff_counts(pairs, renames).first().asDict()
+    n = D.rates(pairs).first().asDict() | counts
+    n["by_class"] = {c: counts[f"group_changed_{c}"] for c in CHANGE_CLASSES}
     events = D.report(pairs, renames)
     if as_tsv:
         result: dict | str = R.report_text(events)
         text = result
     else:
         size = R.predicted_bytes(n["n_added"] + n["n_removed"] + n["n_gid_renamed"] + n["n_mid_renamed"] + sum(n["by_class"].values()))
-        if all_events and size > BIG_JSON:
-            opts.warn(f"the JSON with all events will take about {size / 1e6:.0f} MB; --report streams them instead")
+        if all_events and size > R.BIG_JSON:
+            opts.warn(R.TOO_BIG.format(size=size / 1024**2, limit=R.BIG_JSON / 1024**2))
         shown = {f"group_changed:{c}" for c in (CHANGE_CLASSES if all_events else {*include, "substantive_regroup"})} | {"master_id_renamed"} | ({"added", "removed", "genetic_id_renamed"} if all_events else set())
         told: dict[str, list[dict]] = defaultdict(list)
         for kind, iid, details in R.report_rows(events.where(F.col("event_class").isin(*shown))):
@@ -240,7 +249,7 @@ def lookup(spark: SparkSession, query: str, paths: Sequence[str], opts: Options)
     releases = load(spark, paths, opts)
     ensure_unique_labels(releases)
     ready = prepare(spark, releases, opts)
-    hit = K.resolve(ready.samples, query).cache()
+    hit = written(K.resolve(ready.samples, query))
     found = hit.first()
     if found is None:
         return {"query": query, "individual_id_canonical": None, "matched_via": "not_found", "master_id_bridge": [], "per_version": {}, "status_flags": ["not_found"]}

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.labels import CHANGE_CLASSES
 from ..operators.manifest import prefix
@@ -45,6 +46,22 @@ COHORT_TURNOVER = "Sample turnover within cohort: {rate} — {state}"
 DIFF_TURNOVER = "Sample turnover: {rate} — {state}"
 DIFF_REGROUP = "Substantive regroup gate: {state}"
 DONE = "Done in {seconds:.1f}s."
+JOINED = "Wrote {rows} rows ({individuals} individuals) to {path}"
+DROPPED = "{canonical}: {n} libraries dropped during --collapse-to-individual: {tokens}"
+BIG_JSON = 100 * 1024 * 1024
+TOO_BIG = "predicted JSON size {size:.1f} MB exceeds {limit:.0f} MB; prefer --tsv for large diffs."
+LIFTED = "group ID '{group_id}' not found in panel.\n         Suggested lift: '{lifted_to}' (convention_restructure_prefix_drop); found in: {found_in}"
+UNKNOWN = "group ID '{group_id}' not found in any supplied panel and no known lift exists."
+UNRESOLVABLE = "{n} group ID(s) unresolvable: {ids}"
+WARNING, ERROR, USAGE = "WARNING: {text}", "error: {text}", "usage error: {text}"
+SCHEMA = ("path:                {path}", "version (inferred):  {label}", "schema_class:        {layout}")
+SCHEMA_VARIANT = "column_layout:       {variant} (header-detected)"
+SCHEMA_SIZE = ("n_rows:              {rows:,}", "n_columns:           {columns}", "detection_signature: (ncols={columns}, col0={first!r}, col1={second!r})")
+SCHEMA_FIELDS, SCHEMA_ABSENT = "mapped canonical fields:", "fields NOT present in this class:"
+SCHEMA_FIELD, SCHEMA_MOVED, SCHEMA_NONE = "  col {column:2d}  {name:<32}  {header}", "  [{variant} layout; base col {base}]", "  - {name}"
+LOOKUP = ("query:                       {query}", "individual_id (canonical):   {individual_id_canonical}", "matched_via:                 {matched_via}")
+LOOKUP_NONE = ("  query {query!r} did not match any individual_id or genetic_id in", "  the supplied .anno files.")
+LOOKUP_RENAMES, LOOKUP_RENAME, LOOKUP_FLAGS = "master_id_bridge:", "  {v_old_label}={mid_old!r} -> {v_new_label}={mid_new!r} [via {via_genetic_id!r}]", "status: {flags}"
 
 
 def cell(value) -> str:
@@ -88,9 +105,15 @@ def manifest_object(r, versions: list[str]) -> dict:
 
 
 def write_manifest_json(rows: DataFrame, versions: list[str], path: str) -> int:
-    objects = [manifest_object(r, versions) for r in rows.toLocalIterator()]
-    Path(path).write_text(json.dumps(objects, indent=2) + "\n", encoding="utf-8")
-    return len(objects)
+    """A JSON array, written object by object."""
+    n = 0
+    with Path(path).open("w", encoding="utf-8") as out:
+        for r in rows.toLocalIterator():
+            text = json.dumps(manifest_object(r, versions), indent=2)
+            out.write((",\n" if n else "[\n") + "\n".join("  " + line for line in text.split("\n")))
+            n += 1
+        out.write("\n]\n" if n else "[]\n")
+    return n
 
 
 def report_rows(report: DataFrame) -> Iterable[tuple[str, str, str]]:
@@ -178,30 +201,40 @@ def class_block(by_class: dict[str, int], versions: list[str]) -> list[str]:
 
 
 def schema_text(release) -> str:
-    d = release.describe()
-    lines = [f"path:                {release.path}", f"version (inferred):  {release.label}", f"schema_class:        {d['schema_class']}"]
-    lines += [f"column_layout:       {release.variant} (header-detected)"] if release.variant else []
-    sig = release.layout.signature
-    lines += [f"n_rows:              {d['n_rows']:,}", f"n_columns:           {d['n_columns']}", f"detection_signature: (ncols={d['n_columns']}, col0={sig[0]!r}, col1={sig[1]!r})", "", "mapped canonical fields:"]
     from ..sources.layouts import displayed
 
+    d, signature = release.describe(), release.layout.signature
+    facts = {"path": release.path, "label": release.label, "layout": d["schema_class"], "variant": release.variant, "rows": d["n_rows"], "columns": d["n_columns"], "first": signature[0], "second": signature[1]}
+    top = [*SCHEMA, *[SCHEMA_VARIANT] * bool(release.variant), *SCHEMA_SIZE]
+    lines = [x.format(**facts) for x in top] + ["", SCHEMA_FIELDS]
     for name, at in sorted(d["fields"].items(), key=lambda kv: kv[1]["column"]):
         k, base = at["column"], at["base_column"]
-        shown = displayed(release.header[k - 1]) if k <= len(release.header) else ""
-        lines.append(f"  col {k:2d}  {name:<32}  {shown}" + (f"  [{release.variant} layout; base col {base}]" if base else ""))
-    lines += ["", "fields NOT present in this class:", *(f"  - {n}" for n in d["not_present"])] if d["not_present"] else []
+        header = displayed(release.header[k - 1]) if k <= len(release.header) else ""
+        moved = SCHEMA_MOVED.format(variant=release.variant, base=base) if base else ""
+        lines.append(SCHEMA_FIELD.format(column=k, name=name, header=header) + moved)
+    if d["not_present"]:
+        lines += ["", SCHEMA_ABSENT, *(SCHEMA_NONE.format(name=n) for n in d["not_present"])]
     return "\n".join(lines) + "\n"
 
 
 def lookup_text(found: dict) -> str:
-    lines = [f"query:                       {found['query']}", f"individual_id (canonical):   {found['individual_id_canonical']}", f"matched_via:                 {found['matched_via']}"]
+    lines = [x.format(**found) for x in LOOKUP]
     if found["matched_via"] == "not_found":
-        return "\n".join([*lines, "", f"  query {found['query']!r} did not match any individual_id or genetic_id in", "  the supplied .anno files."]) + "\n"
+        return "\n".join([*lines, "", *(x.format(**found) for x in LOOKUP_NONE)]) + "\n"
     if found["master_id_bridge"]:
-        lines.append("master_id_bridge:")
-        lines += [f"  {e['v_old_label']}={e['mid_old']!r} -> {e['v_new_label']}={e['mid_new']!r} [via {e['via_genetic_id']!r}]" for e in found["master_id_bridge"]]
+        lines += [LOOKUP_RENAMES, *(LOOKUP_RENAME.format(**e) for e in found["master_id_bridge"])]
     for version, rows in found["per_version"].items():
         for r in rows:
             parts = [f"genetic_id={r['genetic_id']}", f"group_id={r['group_id']}", *(f"{k}={r[k]}" for k in ("snps_hit_1240k", "persistent_genetic_id") if r[k] is not None)]
             lines.append(f"{version}:".ljust(28) + " ".join(parts))
-    return "\n".join([*lines, "", "status: " + "; ".join(found["status_flags"])]) + "\n"
+    return "\n".join([*lines, "", LOOKUP_FLAGS.format(flags="; ".join(found["status_flags"]))]) + "\n"
+
+
+def write_folder(rows: DataFrame, columns: Iterable[str], path: str, as_json: bool = False) -> None:
+    """The same cells as a folder that executors write in parallel: TSV parts with a header each, or a JSON object a line. For tables that aren't to pass the driver."""
+    rows = rows.select(*[f"`{c}`" for c in columns])
+    if as_json:
+        rows.write.option("ignoreNullFields", "false").json(path)
+    else:
+        text = rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING)).alias(c) for c in rows.columns])
+        text.write.csv(path, sep="\t", header=True, quote="\u0000", escape="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

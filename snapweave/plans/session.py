@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import bridge as B
+from ..runtime import written
 from ..sources.releases import Release, ranked_labels, read_bridge, samples_of
 
 
@@ -34,7 +35,7 @@ def bridged(spark: SparkSession, releases: Sequence[Release], on_collision: str
     rows = samples_of(releases)
     versions = ranked_labels([r.label for r in releases])
     notes: list[str] = []
-    events = B.rename_events(rows).cache()
+    events = written(B.rename_events(rows))
     notes += B.check_collisions(events, on_collision)
     manual_count = 0
     if manual_path is not None:

@@ -26,20 +26,25 @@ from .layouts import FIELDS, Layout, detect, normalized
 LONGS = ("persistent_genetic_id", "date_mean_bp", "date_sd_bp", "snps_hit_1240k", "snps_hit_ho")
 DOUBLES = ("coverage_1240k",)
 
-# File names of published releases and the labels they stand for; a short data set name may lead or follow.
+# File names of published releases and the labels they stand for; {name} is the data set's short name.
 _NAMES = (
-    (r"[a-z]+_v(\d+)\.(\d+)(?:\.p\d+)?_(?:1240K|HO)_public\.anno$", r"v\1.\2"),
+    (r"{name}_v(\d+)\.(\d+)(?:\.p\d+)?_(?:1240K|HO)_public\.anno$", r"v\1.\2"),
     (r"v(\d+)\.(\d+)_(?:1240k|HO)_public\.anno$", r"v\1.\2"),
-    (r"v(\d+)\.[A-Za-z0-9_]+\.[a-z]+\.PUB\.anno$", r"v\1.0"),
+    (r"v(\d+)\.[A-Za-z0-9_]+\.{name}\.PUB\.anno$", r"v\1.0"),
 )
 
 
-def infer_label(path: str, override: str | None = None) -> tuple[str, bool]:
+#: A pattern for the data set's short name in file names; give the name itself to accept no other.
+DATASET = "[a-z]+"
+
+
+def infer_label(path: str, override: str | None = None, dataset: str = DATASET) -> tuple[str, bool]:
     """(label, whether it was given or inferred): by the file's name, else its stem."""
     if override is not None:
         return override, True
     name = PurePosixPath(path).name
     for pattern, label in _NAMES:
+        pattern = pattern.replace("{name}", dataset)
         if found := re.search(pattern, name):
             return re.sub(pattern, label, found[0]), True
     return PurePosixPath(path).stem, False
@@ -113,7 +118,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """The first line's cells, without a phantom last one."""
     try:
-        first = spark.read.text(path).where("_metadata.file_block_start = 0").head(1)
+        first = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.make_valid_utf8("value").alias("value")).head(1)
     except PySparkException as e:
         raise SourceError(f"{path} can't be read: {str(e).splitlines()[0]}") from e
     if not first:
@@ -121,7 +126,7 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return first[0]["value"].rstrip("\r\n").split("\t")
 
 
-def read_release(spark: SparkSession, path: str, label: str | None = None, layout: str | None = None, check_width: bool = True) -> Release:
+def read_release(spark: SparkSession, path: str, label: str | None = None, layout: str | None = None, check_width: bool = True, dataset: str = DATASET) -> Release:
     """One release file. Cells are found by position, so only those that a query uses are cut out of a line."""
     cells = read_header(spark, path)
     notes = []
@@ -132,7 +137,7 @@ def read_release(spark: SparkSession, path: str, label: str | None = None, layou
     found = detect(header, layout)
     if layout is None and len(header) < full_width and len(header) not in found.widths:
         notes.append(f"{path}: {len(header)} columns aren't usual for layout {found.name}")
-    name, sure = infer_label(path, label)
+    name, sure = infer_label(path, label, dataset)
     if not sure:
         notes.append(f"{path}: no version in the file name; the label is {name}")
     elif label is None and name not in found.releases:
@@ -199,11 +204,12 @@ def read_cohort(spark: SparkSession, path: str) -> dict[str, str | None]:
     out: dict[str, str | None] = {}
     for k, cells in enumerate(_rows(spark, path, quoted=True)):
         first = cells[0].strip() if cells else ""
-        if (k == 0 and first.lower() == "individual_id") or not first or first.startswith("#"):
+        if (k == 0 and first.lower() == "individual_id") or not any(c.strip() for c in cells) or first.startswith("#"):
             continue
         if len(cells) > 2:
             raise UsageError(f"{path}, line {k + 1}: a cohort file has one or two columns, not {len(cells)}")
-        out.setdefault(first, (cells[1].strip() or None) if len(cells) == 2 else None)
+        if first:
+            out.setdefault(first, (cells[1].strip() or None) if len(cells) == 2 else None)
     return out
 
 

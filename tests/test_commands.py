@@ -56,7 +56,7 @@ def test_sides_may_share_a_label(spark, paths, capsys):
     assert json.loads(capsys.readouterr().out)["shared_individuals"] == 3
 
 
-def test_join_holds_every_individual(spark, paths, tmp_path):
+def test_join_holds_every_individual(spark, paths, tmp_path, capsys):
     out = tmp_path / "j.tsv"
     assert cli.main(["join", paths[0], paths[1], "-o", str(out)]) == 0
     rows = [(r["individual_id_canonical"], r["library_token"], r["status"]) for r in tsv(out)]
@@ -64,6 +64,9 @@ def test_join_holds_every_individual(spark, paths, tmp_path):
         ("Hunter", "Hunter.DG", "present_all"), ("Hunter", "Hunter_b.DG", "present_all"), ("Hunter", "K7.AG", "present_all"), ("P4", "P4.DG", "present_all"), ("P5", "P5.DG", "added_after_v54_1"), ("P5", "P5.SG", "removed_before_v62_0"),
     ]
     assert "persistent_genetic_id" not in tsv(out)[0]
+    assert capsys.readouterr().out == f"Wrote 6 rows (3 individuals) to {out}\n"
+    assert cli.main(["join", paths[0], paths[1], "-o", str(out), "--collapse-to-individual"]) == 0
+    assert "WARNING: Hunter: 1 libraries dropped during --collapse-to-individual: ['Hunter_b.DG']" in capsys.readouterr().err
     assert cli.main(["--version-label", "v1.0", "join", paths[0], paths[1], "-o", str(out)]) == 4
 
 
@@ -129,12 +132,15 @@ def test_validate_groups(spark, paths, capsys):
     assert cli.main(["validate-groups", "Test_Pop", "Patterson_Test_Pop", "--anno-files", *paths, "--json"]) == 0
     items = json.loads(capsys.readouterr().out)
     assert [i["status"] for i in items] == ["valid", "lifted"] and items[0]["found_in"] == ["v54.1", "v62.0", "v66.0"]
-    assert cli.main(["validate-groups", "Nope", "--anno-files", *paths]) == 1
+    assert cli.main(["validate-groups", "Nope", "Patterson_Test_Pop", "--anno-files", *paths]) == 1
+    err = capsys.readouterr().err
+    assert "WARNING: group ID 'Patterson_Test_Pop' not found in panel.\n         Suggested lift: 'Test_Pop' (convention_restructure_prefix_drop); found in: v54.1, v62.0, v66.0\n" in err
+    assert "WARNING: group ID 'Nope' not found in any supplied panel and no known lift exists.\n" in err and "error: 1 group ID(s) unresolvable: 'Nope'\n" in err
 
 
-def test_exit_codes(spark, paths, tmp_path):
+def test_exit_codes(spark, paths, tmp_path, capsys):
     out = str(tmp_path / "o")
-    assert cli.main([]) == 4
+    assert cli.main([]) == 4 and capsys.readouterr().err.startswith("usage error: ")
     assert cli.main(["diff", paths[0], str(tmp_path / "none")]) == 4
     assert cli.main(["--mid-bridge", str(tmp_path / "none"), "join", paths[0], paths[1], "-o", out]) == 2
     (tmp_path / "odd.anno").write_text("a\tb\n1\t2\n")
@@ -162,3 +168,16 @@ def test_library_api(spark, paths):
     with pytest.raises(ValueError, match="releases or paths"):
         api.resolve_master_ids(spark, [], "a", "b")
     assert issubclass(CollisionError, Exception)
+
+
+def test_folders_hold_the_same_cells(spark, tmp_path):
+    from snapweave.plans.render import write_folder, write_tsv
+
+    rows = spark.createDataFrame([("a", None, 1), ("", ' "q', None), ("b\\", "x", 3)], "s string, t string, n long")
+    write_tsv(rows, ["s", "t", "n"], str(tmp_path / "one.tsv"))
+    write_folder(rows.coalesce(1), ["s", "t", "n"], str(tmp_path / "many"))
+    (part,) = (tmp_path / "many").glob("part-*")
+    assert part.read_text() == (tmp_path / "one.tsv").read_text()
+    write_folder(rows.coalesce(1), ["s", "n"], str(tmp_path / "json"), as_json=True)
+    (part,) = (tmp_path / "json").glob("part-*")
+    assert [json.loads(x) for x in part.read_text().splitlines()] == [{"s": "a", "n": 1}, {"s": "", "n": None}, {"s": "b\\", "n": 3}]

@@ -246,3 +246,27 @@ def test_other_gates(spark):
     changes = spark.createDataFrame([("substantive_regroup",)] * 3 + [("partial",)], "change_class string")
     assert [G.substantive_regroup(changes, t).first()["state"] for t in (None, 3, 2)] == ["pass", "pass", "fail"]
     assert plain(G.presence_histogram(wide(cohort(["A", "x"]))), "status", "n_rows") == [("not_in_any_supplied_version", 1), ("present_all", 1)]
+
+
+def test_components_on_the_driver_and_by_stars(spark):
+    import random
+
+    from snapweave.operators.components import largest_members, united
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(70, 80)]
+    df = spark.createDataFrame(edges, "a int, b int")
+    few = {tuple(r) for r in largest_members(df).collect()}
+    assert few == {tuple(r) for r in largest_members(df, few=0).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    one = spark.createDataFrame([(nodes, edges)], "nodes array<int>, edges array<struct<a:int,b:int>>").select(united("nodes", "edges").alias("roots")).first()["roots"]
+    assert {(x, r) for x, r in zip(nodes, one, strict=True) if x in {n for n, _ in few}} == few
+
+
+def test_large_individuals_get_the_same_tokens(spark):
+    from snapweave.operators import libraries as L
+
+    rows = [("i0", f"v{v}.0", v, f"S{k}{'' if v < 1 else '.AG'}") for v in range(3) for k in range(12)] + [("i1", "v0.0", 0, "X.DG"), ("i1", "v1.0", 1, "Y.DG"), ("i2", "v2.0", 2, "Z"), ("i2", "v2.0", 2, "Z")]
+    df = spark.createDataFrame(rows, "canonical string, version string, version_rank int, genetic_id string").withColumn("individual_id", F.col("canonical"))
+    want = sorted(L.library_tokens(df).collect())
+    assert sorted(L.library_tokens(df, few=4).collect()) == sorted(L.library_tokens(df, few=0).collect()) == want and len(want) == 39
