@@ -10,11 +10,15 @@ are still missing.
 No source is sorted as a whole: the keys' images under 1 - exp(-key) fall into
 equal ranges, sizes are summed per (source, range), a running sum over those
 sums finds the range that holds the border, and only that range is sorted. A
-source that holds a third of all rows is thus spread like the others.
+source that holds a third of all rows is thus spread like the others. There
+are RANGES ranges and more where rows are many, so a range's rows are bounded
+on average. The sources' plan is made in one task over a slim row a source.
 
 A null text has size 0; a null source is a source of its own, last in order.
 u comes from the id alone, so reruns agree; rows that repeat an id have one
 key, and on the border they share what is missing in proportion to their sizes.
+An empty table gives an empty mix; a text of any length is one document, taken
+in part only on the border; columns other than those named may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import fill, staged
 
-RANGES, MOST_BROADCAST = 1024, 100_000
+#: Ranges of keys at least, rows a range on average at most, and the bytes of a plan that is broadcast whole.
+RANGES, IN_RANGE, MOST_BROADCAST = 1024, 200_000, 64 << 20
 
 
 def words(text: str | Column) -> Column:
@@ -86,6 +91,7 @@ def borders(sized: DataFrame, targets: DataFrame, ranges: int = RANGES) -> DataF
 
 def plan_mix(sized: DataFrame, most_epochs: int = 3, ranges: int = RANGES) -> DataFrame:
     """One row per source with target, epochs and border; ``sized`` has id, source, size and key."""
+    ranges = max(ranges, sized.count() // IN_RANGE)
     targets = staged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most_epochs))
     edges = borders(sized, targets, ranges).withColumnRenamed("source", "s2")
     return staged(targets.join(edges, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"))
@@ -94,16 +100,16 @@ def plan_mix(sized: DataFrame, most_epochs: int = 3, ranges: int = RANGES) -> Da
 def _planned(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
     """``rows`` with their sources' plans.
 
-    A plan of up to MOST_BROADCAST sources is broadcast. Of a larger one only
-    the largest sources are, those with more than a thousandth of all tokens,
-    and the rows of the others shuffle.
+    A plan of up to MOST_BROADCAST bytes is broadcast. Of a larger one only the
+    largest sources are, those with more than a thousandth of all tokens, and
+    the rows of the others shuffle.
     """
     p = plan.withColumnRenamed("source", "plan_source")
     same = source.eqNullSafe(F.col("plan_source"))
-    if plan.count() <= MOST_BROADCAST:
+    whole = plan.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 100).alias("bytes"), F.sum("source_size").alias("size")).first()
+    if (whole["bytes"] or 0) <= MOST_BROADCAST:
         return rows.join(F.broadcast(p), same)
-    total = plan.agg(F.sum("source_size")).first()[0]
-    large = F.broadcast(p.where(F.col("source_size") * 1000 > total))
+    large = F.broadcast(p.where(F.col("source_size") * 1000 > whole["size"]))
     return rows.join(large, same).unionByName(rows.join(large, same, "left_anti").join(p, same))
 
 
