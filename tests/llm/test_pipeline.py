@@ -1,11 +1,13 @@
 """The stages one by one against what they promise, and the whole against its stages."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline as P
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from snapweave.llm import exact_dedup, mixing, near_dedup
+from snapweave.llm import exact_dedup, mixing, near_dedup, packing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,20 +47,32 @@ def test_one_document_of_each_group_stays(stages):
     assert ids(after) == Counter({r["doc_id"]: r["n"] for r in want if r["n"]})
 
 
-def test_every_mixed_document_is_packed(stages):
+def test_every_mixed_document_is_packed_as_often_and_comes_back(stages):
     before, after = stages["packing"]
-    assert Counter(r["doc_id"] for r in after.select("doc_id", "row").distinct().collect()) == ids(before)
+    tokenizer, back, lengths = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), defaultdict(dict), []
+    for r in after.collect():
+        at = 0
+        lengths.append(len(r["ids"]))
+        for doc, row, start, length in zip(r["doc_ids"], r["rows"], r["starts"], r["lengths"], strict=True):
+            back[row, doc][start] = r["ids"][at : at + length]
+            at += length
+        assert at == len(r["ids"]) <= packing.WINDOW
+    assert sum(n < packing.WINDOW for n in lengths) <= 1
+    got = Counter((doc, tuple(t for _, part in sorted(parts.items()) for t in part)) for (_, doc), parts in back.items())
+    assert max(Counter(doc for _, doc in back).values()) > 1
+    assert got == Counter((r["doc_id"], (*tokenizer.encode(r["text"], add_special_tokens=False).ids, packing.END)) for r in before.collect())
 
 
 def test_run_gives_the_rows_of_the_last_stage(spark, stages):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    got, want = (Counter(tuple(r) for r in df.where("start = 0").select("doc_id", "doc_tokens").collect()) for df in (P.run(spark, DATA), stages["packing"][1]))
-    assert got == want and set(names) <= set(stages["packing"][1].columns)
+    texts = lambda df: Counter(r["doc"] for r in df.selectExpr("explode(arrays_zip(doc_ids, starts)) as d").where("d.starts = 0").selectExpr("d.doc_ids as doc").collect())
+    got, want = P.run(spark, DATA), stages["packing"][1]
+    assert got.schema == want.schema and texts(got) == texts(want)
 
 
 def test_empty_corpora_and_odd_rows_go_through(spark, odd):
     for df in (odd, odd.where("false")):
         docs = df
-        for _, stage in P.STAGES:
+        for name, stage in P.STAGES:
             docs = stage(spark, docs, DATA)
+            assert name == "packing" or docs.columns == df.columns
         assert docs.count() >= 0
