@@ -83,7 +83,10 @@ def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     def run(batches: Iterator) -> Iterator:
         import ctypes
 
+        import pyarrow as pa
+
         yield from work(batches)
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it
             ctypes.CDLL(None).malloc_trim(0)
 
@@ -115,16 +118,21 @@ def fill(text: str | Column) -> Column:
 HOT_GROUPS = 1000
 
 
-def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, n_rows: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with one row per group of them, of which ``size`` tells the rows.
 
-    Groups of more than n_rows / HOT_GROUPS rows are fewer than HOT_GROUPS, so
-    these are broadcast and their rows stay where they are; only rows of
-    smaller groups shuffle, and none of those groups is a task's burden.
+    Groups of more than n_rows / HOT_GROUPS rows are fewer than HOT_GROUPS: the
+    hashes of their keys are known to the driver, their totals are broadcast
+    and their rows stay where they are. Only rows of smaller groups shuffle,
+    and none of those groups is a task's burden.
     """
-    hot = totals.where(F.col(size) * HOT_GROUPS > n_rows)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals, keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+    totals = staged(totals)
+    at = F.xxhash64(*keys)
+    hot = [r[0] for r in totals.where(F.col(size) * HOT_GROUPS > n_rows).select(at).distinct().collect()]
+    if not hot:
+        return rows.join(totals, keys, how)
+    near, far = at.isin(hot), ~at.isin(hot)
+    return rows.where(near).join(F.broadcast(totals.where(near)), keys, how).unionByName(rows.where(far).join(totals.where(far), keys, how))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -374,27 +374,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     points = staged(points.withColumn("p", F.monotonically_increasing_id()))
 
     slim = _bucketed(points, tables, probes)
-    large = staged(slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
-    n_slim = points.count() * tables * probes
-    hot = F.broadcast(large.where(F.col("n") * 1000 > n_slim))  # under a thousand
-    rest = slim.join(hot.select("key"), "key", "left_anti").join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
-    met = staged(_candidates(tiles(slim.join(hot, "key").unionByName(rest), block), apart))
+    large = slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    sized = with_totals(slim, large, ["key"], "n", points.count() * tables * probes, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    met = staged(_candidates(tiles(sized, block), apart))
 
     node = met.select("p").distinct()
     groups = node.join(components(met.where("p <> mate"), "p", "mate").withColumnRenamed("id", "p"), "p", "left").select("p", F.coalesce("root", "p").alias("group"))
     groups = staged(groups)
     size = groups.groupBy("group").agg(F.count("*").alias("size"))
-    groups = staged(with_totals(groups, staged(size), ["group"], "size", groups.count()))
+    groups = staged(with_totals(groups, size, ["group"], "size", groups.count()))
     whole = points.select("p", "id", "label", "g", "d", "n", "codes", "vector")
     small = groups.where(F.col("size") <= block).join(whole.drop("codes"), "p")
     tiled = met.drop("mate").join(groups.where(F.col("size") > block).select("p"), "p").join(whole, "p")
     found = _compare(small, ["group"], lambda pdf: compare_group(pdf, least)).union(_compare(tiled, TILE, lambda pdf: compare_tile(pdf, tables, probes, least)))
     found = staged(found)
-    done_with(large, met)
+    done_with(met)
 
     counted = found.groupBy("p").agg(F.sum("links").alias("links"))
     told = points.select(*same, "n", F.col("id").alias("point"), "p").join(counted, "p", "left").select(*same, "n", "point", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    member = with_totals(good.select("id", *same), staged(told), same, "n", good.count())
+    member = with_totals(good.select("id", *same), told, same, "n", good.count())
     of = staged(member.groupBy("id").agg(F.max("links").alias("n_links"), F.array_sort(F.collect_set("point")).alias("points")))
     #: Rows that repeat an id with other vectors tie these together.
     ties = of.where("size(points) > 1").select(F.explode(F.slice("points", F.lit(2), F.size("points"))).alias("id"), F.col("points")[0].alias("root"))

@@ -30,3 +30,17 @@ def test_staged_tables_are_released(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_totals_reach_rows_of_hot_and_of_small_groups(spark):
+    rows = spark.createDataFrame([(0 if k % 3 == 0 else k, k) for k in range(300)] + [(None, -1)], "g int, x int")
+    totals = rows.where("g is not null and g < 250").groupBy("g").count()
+    want = {(0 if k % 3 == 0 else k, k, 100 if k % 3 == 0 else 1) for k in range(300) if k % 3 == 0 or k < 250}
+    for n_rows in (300, 10**9):  # the first group is hot in one case
+        assert {tuple(r) for r in X.with_totals(rows, totals, ["g"], "count", n_rows).select("g", "x", "count").collect()} == want
+        left = X.with_totals(rows, totals, ["g"], "count", n_rows, "left").collect()
+        assert len(left) == 301 and {tuple(r) for r in left if r["count"]} == want
+
+
+def test_a_column_name_that_is_free():
+    assert X.unused(["a", "Gone", "gone_"], "gone") == "gone__" and X.unused([], "x") == "x"
