@@ -39,6 +39,8 @@ from .tokens import VOCABULARY, tokenizer
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW, GRID, END = 2048, 64, 1
+#: Ranks' bases of as many partitions and lengths, some 25 MB, are broadcast; beyond, rows shuffle to them.
+MOST_BASES = 500_000
 UNITS = WINDOW // GRID
 BINS = range(1, UNITS)
 
@@ -61,13 +63,14 @@ def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, wi
         part = TaskContext.get().partitionId()
         row, full_at, tail_at, ranks = part << 33, 0, 0, [0] * UNITS
         signed = lambda x: x - (1 << 32) if x >> 31 else x
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
-            out = []
+            out, held = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = get(text or "")
-                ids.append(END)
-                n, data = len(ids), memoryview(np.array(ids, "<u4").tobytes())
+                ids = np.array([*get(text or ""), END], "<i4")
+                n, data = len(ids), memoryview(ids.tobytes())
+                if with_ids:
+                    held.append(ids)
                 full, rest = divmod(n, WINDOW)
                 main, tail = divmod(rest, GRID)
                 crcs, at, crc = [], full * WINDOW * 4, 0
@@ -75,11 +78,14 @@ def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, wi
                     crc = crc32(data[at : at + GRID * 4], crc)
                     crcs.append(signed(crc))
                     at += GRID * 4
-                out.append((row, name, n, part, full, full_at, [signed(crc32(data[k * WINDOW * 4 : (k + 1) * WINDOW * 4])) for k in range(full)], main, ranks[main], crcs, tail, tail_at, bytes(data[at:]), ids if with_ids else None))
+                out.append((row, name, n, part, full, full_at, [signed(crc32(data[k * WINDOW * 4 : (k + 1) * WINDOW * 4])) for k in range(full)], main, ranks[main], crcs, tail, tail_at, bytes(data[at:])))
                 row, full_at, tail_at = row + 1, full_at + full, tail_at + tail
                 ranks[main] += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ENCODED.split(", ")])
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, np.concatenate(held)) if with_ids else pa.nulls(len(out), pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
 
     return for_python(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
@@ -203,7 +209,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     spark = docs.sparkSession
     rows = staged(encode_rows(docs, id_col, text_col, vocabulary, with_ids))
     counts = {r["main"]: r["n"] for r in rows.where("main > 0").groupBy("main").agg(F.count("*").alias("n")).collect()}
-    totals = rows.agg(F.coalesce(F.sum("n_full"), F.lit(0)).alias("full")).first()
+    totals = rows.agg(F.coalesce(F.sum("n_full"), F.lit(0)).alias("full"), F.coalesce(F.max("part") + 1, F.lit(0)).alias("parts")).first()
+    sent = F.broadcast if totals["parts"] * UNITS <= MOST_BASES else lambda df: df
 
     places, used, sequence = [], dict.fromkeys(BINS, 0), totals["full"]
     for way, uses in strategy(counts):
@@ -225,7 +232,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     per_part = rows.groupBy("part").agg(F.sum("n_full").alias("f"), F.sum("tail").alias("t"))
     per_part = _running(_running(per_part, [], "f", "full_base"), [], "t", "tail_base").select(F.col("part").alias("p1"), "full_base", "tail_base")
     per_bin = _running(rows.groupBy("part", "main").agg(F.count("*").alias("c")), ["main"], "c", "rank_base").select(F.col("part").alias("p2"), F.col("main").alias("m2"), "rank_base")
-    r = rows.join(per_part, F.col("part") == F.col("p1")).join(per_bin, (F.col("part") == F.col("p2")) & (F.col("main") == F.col("m2")))
+    r = rows.join(sent(per_part), F.col("part") == F.col("p1")).join(sent(per_bin), (F.col("part") == F.col("p2")) & (F.col("main") == F.col("m2")))
     r = r.withColumn("rank", F.col("rank_base") + F.col("main_rank"))
     r = r.join(slots, (F.col("main") == F.col("bin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left").join(spares, F.col("main") == F.col("bin2"), "left")
 
@@ -280,5 +287,5 @@ def _with_ids(pieces: Column, asked: bool) -> Column:
 
 def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The packed sequences from pack(with_ids=True): sequence_id, ids, and of each piece doc_ids, rows, starts and lengths. At most a window's pieces meet in a row."""
-    one = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.col(id_col).alias("id"), "row", "start", "length", "ids"))).alias("p"))
+    one = pieces.repartition("sequence_id").groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.col(id_col).alias("id"), "row", "start", "length", "ids"))).alias("p"))
     return one.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.id").alias("doc_ids"), F.col("p.row").alias("rows"), F.col("p.start").alias("starts"), F.col("p.length").alias("lengths"))
