@@ -19,7 +19,10 @@ forest a block.
 
 Words are runs of letters and digits, lower-cased. A text of one to four words
 is one shingle. Texts without words and rows without id link with nothing; a
-class is named by its smallest id.
+class is named by its smallest id. Rows that repeat an id are of one class,
+also with other texts. Whole texts are read; one takes some 30 bytes of memory
+a byte. An empty table gives an empty one. Columns besides id and text may have
+any names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, fill, for_python, per_process, runs, staged, trimmed, with_totals
-from .exact_dedup import filter_bits, present_cells, with_suspicion
+from .common import Forest, components, done_with, fill, for_python, per_process, runs, staged, trimmed, unused, with_totals
+from .exact_dedup import filter_shape, present_cells, with_suspicion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -235,29 +238,37 @@ def _block(n: Column) -> Column:
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without those whose id surely isn't in ``ids``, by a Bloom filter of bounded size: what a join would drop isn't shuffled."""
+    """``rows`` without those whose id surely isn't in ``ids``, by a Bloom filter of at most 128 MB: most of what a join would drop isn't shuffled.
+
+    A join follows, so what a filter lets through changes no result.
+    """
     ids = ids.distinct()
-    bits = filter_bits(ids.count())
+    bits = filter_shape(ids.count())[1]
     return with_suspicion(rows, "id", present_cells(ids, "id", bits), bits).where("suspect").drop("suspect")
 
 
 def links(sketches: DataFrame, heads: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): verified links between heads that span every component."""
+    """(a, b): verified links between heads that span every component.
+
+    Rows of large buckets meet their bucket's totals by broadcast, so none is a task's burden.
+    """
     bands = heads.select("id", F.posexplode("bands").alias("band", "key"))
     bucket = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = staged(bands.join(bucket, ["band", "key"]).select("id", "band", "key", "lead"))
+    members = staged(with_totals(bands, bucket, ["band", "key"], "n", heads.count() * BANDS).select("id", "band", "key", "lead"))
 
     pairs = staged(members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
     body = sketches.select("id", "elements", "weights")
     left = _only(body, pairs.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     right = _only(body, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    first = staged(for_python(pairs).join(left, "a").join(right, "b").withColumn("sim", _similarity()).where(F.col("sim") >= least).select("a", "b"))
+    n_members = members.count()
+    # Both sides of these joins grow with the input, so they are sorted and merged at every size.
+    first = staged(for_python(pairs).hint("merge").join(left, "a").join(right.hint("merge"), "b").withColumn("sim", _similarity()).where(F.col("sim") >= least).select("a", "b"))
 
     roots = components(first)
     placed = staged(members.join(roots, "id", "left").select("id", "band", "key", F.coalesce("root", "id").alias("comp")))
     parts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    todo = placed.join(open_, ["band", "key"]).withColumn("outer", F.col("comp") != F.col("major"))
+    open_ = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1 and n > 2")  # of two, the only pair is verified
+    todo = with_totals(placed, open_, ["band", "key"], "n", n_members).withColumn("outer", F.col("comp") != F.col("major"))
     n_out, n_in = (F.ceil((F.col("n") - F.col("n_major")) / BLOCK).cast("int"), F.ceil(F.col("n_major") / BLOCK).cast("int"))
     todo = todo.withColumn("block", F.when(F.col("outer"), _block(n_out)).otherwise(_block(n_in)))
     among = todo.where("outer").withColumn("o", F.explode(F.sequence(F.lit(0), n_out - 1)))
@@ -266,7 +277,8 @@ def links(sketches: DataFrame, heads: DataFrame, least: float = LEAST) -> DataFr
     across = across.select("id", "comp", "band", "key", F.lit(1).alias("kind"), F.when(F.col("outer"), F.col("block")).otherwise(F.col("o")).alias("ti"), F.when(F.col("outer"), F.col("o")).otherwise(F.col("block")).alias("tj"), (~F.col("outer")).cast("int").alias("side"))
     tiles = staged(among.union(across))
     whole = _only(sketches.select("id", "names", "elements", "weights"), tiles.select("id"))
-    second = staged(_compare(tiles.join(whole, "id"), least))
+    second = staged(_compare(tiles.hint("merge").join(whole, "id"), least))
+    done_with(members, pairs, placed, tiles)
     return first.union(second)
 
 
@@ -280,6 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     #: Rows that repeat an id with other texts tie their classes together.
     ties = of.where(F.size("heads") > 1).select(F.explode(F.slice("heads", F.lit(2), F.size("heads"))).alias("a"), F.col("heads")[0].alias("b"))
     roots = components(links(sketches, heads, least).union(ties))
+    done_with(sketches, heads)
     named = of.select(F.col("id").alias("member"), F.col("heads")[0].alias("head")).join(roots.withColumnRenamed("id", "head"), "head", "left").select("member", F.coalesce("root", "head").alias("class_id"))
     out = docs.select(F.col(id_col).alias("own")).join(named, F.col("own") == F.col("member"), "left")
     class_id = F.coalesce("class_id", F.col("own").cast("long"))
@@ -288,5 +301,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: of each class those of its smallest id."""
-    gone = staged(near_duplicates(docs, id_col, text_col, least).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs.columns, "gone")
+    gone = staged(near_duplicates(docs, id_col, text_col, least).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct())
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
