@@ -30,7 +30,7 @@ import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import for_python, per_process, staged, trimmed
@@ -41,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW, GRID, END = 2048, 64, 1
 #: Ranks' bases of as many partitions and lengths, some 25 MB, are broadcast; beyond, rows shuffle to them.
 MOST_BASES = 500_000
+#: Ids, 1 MB, after which a worker sends on what it has encoded.
+MOST_IDS = 1 << 18
 UNITS = WINDOW // GRID
 BINS = range(1, UNITS)
 
@@ -49,43 +51,56 @@ ENCODED = (
 )
 
 
+def encode_batches(batches: Iterator, part: int, vocabulary: str, with_ids: bool = False) -> Iterator:
+    """Record batches of ENCODED from those of (id, text) in one input partition; one ends once its rows have MOST_IDS ids."""
+    from zlib import crc32
+
+    import numpy as np
+    import pyarrow as pa
+
+    get = tokenizer(vocabulary)[0]
+    row, full_at, tail_at, ranks = part << 33, 0, 0, [0] * UNITS
+    signed = lambda x: x - (1 << 32) if x >> 31 else x
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary()]
+
+    def record(out: list, held: list) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+        columns.append(pa.ListArray.from_arrays(ends, np.concatenate(held)) if with_ids else pa.nulls(len(out), pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
+
+    for batch in batches:
+        out, held, load = [], [], 0
+        for name, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids = np.array([*get(text.as_py() or ""), END], "<i4")
+            n, data = len(ids), memoryview(ids.tobytes())
+            if with_ids:
+                held.append(ids)
+            full, rest = divmod(n, WINDOW)
+            main, tail = divmod(rest, GRID)
+            crcs, at, crc = [], full * WINDOW * 4, 0
+            for _ in range(main):
+                crc = crc32(data[at : at + GRID * 4], crc)
+                crcs.append(signed(crc))
+                at += GRID * 4
+            out.append((row, name.as_py(), n, part, full, full_at, [signed(crc32(data[k * WINDOW * 4 : (k + 1) * WINDOW * 4])) for k in range(full)], main, ranks[main], crcs, tail, tail_at, bytes(data[at:])))
+            row, full_at, tail_at = row + 1, full_at + full, tail_at + tail
+            ranks[main] += 1
+            load += n
+            if load >= MOST_IDS:
+                yield record(out, held)
+                out, held, load = [], [], 0
+        if out:
+            yield record(out, held)
+
+
 def encode_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """One slim row per document: lengths, CRCs on the grid, the tail's ids, its ranks within its input partition, and all ids if asked for."""
 
     def encode(batches: Iterator) -> Iterator:
-        from zlib import crc32
-
-        import numpy as np
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        get = tokenizer(vocabulary)[0]
-        part = TaskContext.get().partitionId()
-        row, full_at, tail_at, ranks = part << 33, 0, 0, [0] * UNITS
-        signed = lambda x: x - (1 << 32) if x >> 31 else x
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary()]
-        for batch in batches:
-            out, held = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*get(text or ""), END], "<i4")
-                n, data = len(ids), memoryview(ids.tobytes())
-                if with_ids:
-                    held.append(ids)
-                full, rest = divmod(n, WINDOW)
-                main, tail = divmod(rest, GRID)
-                crcs, at, crc = [], full * WINDOW * 4, 0
-                for _ in range(main):
-                    crc = crc32(data[at : at + GRID * 4], crc)
-                    crcs.append(signed(crc))
-                    at += GRID * 4
-                out.append((row, name, n, part, full, full_at, [signed(crc32(data[k * WINDOW * 4 : (k + 1) * WINDOW * 4])) for k in range(full)], main, ranks[main], crcs, tail, tail_at, bytes(data[at:])))
-                row, full_at, tail_at = row + 1, full_at + full, tail_at + tail
-                ranks[main] += 1
-            if out:
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
-                columns.append(pa.ListArray.from_arrays(ends, np.concatenate(held)) if with_ids else pa.nulls(len(out), pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
+        return encode_batches(batches, TaskContext.get().partitionId(), vocabulary, with_ids)
 
     return for_python(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encode), ENCODED)
 
@@ -195,6 +210,15 @@ def _suffix_crc():
     return crc
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows`` of integers as a relation of the plan: from a list, createDataFrame sends them through Python workers of their own, which then stay in memory."""
+    import pyarrow as pa
+
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)}), schema)
+
+
 def _running(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the earlier input partitions, one row per partition and group."""
     w = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -226,8 +250,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         at += (counts.get(k, 0) - used[k]) * k
     base, spare_ids = sequence * WINDOW, at * GRID
     #: At most a row per combination and length, whatever the data.
-    slots = F.broadcast(spark.createDataFrame(places, "bin int, low long, high long, seq long, seq_offset long"))
-    spares = F.broadcast(spark.createDataFrame(spare, "bin2 int, from_rank long, from_unit long"))
+    slots = F.broadcast(_local(spark, places, "bin int, low long, high long, seq long, seq_offset long"))
+    spares = F.broadcast(_local(spark, spare, "bin2 int, from_rank long, from_unit long"))
 
     per_part = rows.groupBy("part").agg(F.sum("n_full").alias("f"), F.sum("tail").alias("t"))
     per_part = _running(_running(per_part, [], "f", "full_base"), [], "t", "tail_base").select(F.col("part").alias("p1"), "full_base", "tail_base")

@@ -3,6 +3,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -101,3 +102,21 @@ def test_the_checksum_of_a_suffix_follows_from_two_others():
         cut = k * X.GRID * 4
         got = X.crc_of_suffix(np.array([crc32(data)], np.uint32), np.array([crc32(data[:cut])], np.uint32), np.array([7 - k]))
         assert got[0] == crc32(data[cut:])
+
+
+def test_workers_send_on_little_at_a_time(monkeypatch):
+    """Of a batch of any size, batches of few ids, with the rows that one batch would have."""
+    texts = [None, "", "a b c", *(" ".join(f"w{k}x{i}" for k in range(i % 40 * 30)) for i in range(120))]
+    read = [pa.record_batch({"id": list(map(str, range(len(texts)))), "text": texts})] * 2
+    sent = lambda: list(X.encode_batches(iter(read), 3, X.VOCABULARY, True))
+    whole = pa.Table.from_batches(sent())
+    monkeypatch.setattr(X, "MOST_IDS", 5000)
+    few = sent()
+    most = max(whole["n"].to_pylist())
+    assert len(few) > 20 and all(sum(b["n"].to_pylist()) < 5000 + most for b in few)
+    assert pa.Table.from_batches(few).to_pylist() == whole.to_pylist()
+    assert all(len(r["ids"]) == r["n"] for r in whole.to_pylist())
+
+
+def test_tables_of_the_plan_need_no_python_workers(docs):
+    assert "ExistingRDD" not in X.pack(docs)._jdf.queryExecution().toString()
